@@ -124,6 +124,8 @@ class Softmax:
 
     def __init__(self, x: np.ndarray, d: np.ndarray, classes: int, rounds: int = 600, ridge: float = 1e-4):
         self.mean, self.scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+        #: Domains without a labelled document have posterior 0 (all equal if none has one).
+        self.absent = np.where(np.bincount(d, minlength=classes) > 0, 0.0, -np.inf) if len(d) else np.zeros(classes)
         z, y = self._design(x), np.eye(classes)[d]
         self.w = now = np.zeros((z.shape[1], classes))
         if not len(x):
@@ -138,8 +140,8 @@ class Softmax:
     def _design(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))])
 
-    @staticmethod
-    def _softmax(s: np.ndarray) -> np.ndarray:
+    def _softmax(self, s: np.ndarray) -> np.ndarray:
+        s = s + self.absent
         e = np.exp(s - s.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -196,7 +198,11 @@ def fit_steps(table: DataFrame, weights: dict[str, float] = WEIGHTS, iterations:
 
     steps = np.zeros((0, k))
     now, gram = totals(steps)
-    share = np.array([weights[d] for d in DOMAINS])
+    # What no document can belong to has no target; the other weights keep their proportions.
+    share = np.where(now > 0, np.array([weights[d] for d in DOMAINS]), 0.0)
+    if not share.any():
+        return steps, np.zeros(k), now
+    share = share / share.sum()
     anchor = int(np.argmax(share))
     targets = share * now[anchor] / share[anchor]
     size = 1.0
@@ -204,7 +210,7 @@ def fit_steps(table: DataFrame, weights: dict[str, float] = WEIGHTS, iterations:
         gap = now - targets
         if np.abs(gap).max() <= tolerance * max(1.0, targets.sum()) or size < 1e-3:
             break
-        ridge = 1e-9 * max(1e-9, np.trace(gram)) * np.eye(k)
+        ridge = np.diag(1e-6 * np.diag(gram) + 1e-12 * np.trace(gram) + 1e-12)
         tried = np.vstack([steps, size * np.linalg.solve(gram + ridge, gap)])
         new, new_gram = totals(tried)
         if np.square(new - targets).sum() < np.square(gap).sum():
