@@ -25,28 +25,38 @@ of the input are ignored by ``find`` and kept by ``deduplicate``.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, words
+from ._common import BLANKS, materialize, words
 
 #: Jaccard similarity as a fraction.
 THRESHOLD = (4, 5)
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
+#: Bits by which documents without a line to verify are left out early.
+DOC_BITS = 1 << 20
 #: Rows in a list whose rows meet pairwise, at most.
 SHORT = 256
 LEADER_ROUNDS = 2
 _HASH_BITS = 58
 
 
+def _split(text: Column) -> Column:
+    """Words of a text, and empty strings where it begins or ends with blanks."""
+    return F.split(F.coalesce(text, F.lit("")), BLANKS)
+
+
 def _word_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
 def frequency_classes(docs: DataFrame, text_col: str) -> bytes:
     """The frequency class of every bucket, a byte each: ``BUCKETS`` bytes, whatever the size of the corpus."""
-    bucket = F.explode(F.transform(words(F.col(text_col)), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))).alias("b")
-    counts = docs.select(bucket).groupBy("b").agg(F.count("*").alias("n"))
+    each = docs.select(F.explode(_split(F.col(text_col))).alias("w")).where("w <> ''")
+    counts = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
     classes = bytearray(BUCKETS)
     for r in counts.select("b", F.least(F.lit(31), F.floor(F.log2(F.col("n") + 1))).cast("int").alias("k")).collect():
         classes[r["b"]] = r["k"]
@@ -59,14 +69,17 @@ def first_lines(docs: DataFrame, classes: bytes, id_col: str, text_col: str) ->
     ``pos`` is (doc_id, text hash, line number); ``prefix`` holds the rarest keys.
     """
     num, den = THRESHOLD
-    table = F.lit(bytearray(classes))
-    rank = lambda h: F.ascii(F.call_function("substring", table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
+    # Folded by the optimizer to one constant array.
+    table = F.expr(f"cast(split('{','.join(map(str, classes))}', ',') as array<long>)")
     lines = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.posexplode(_word_lines(F.col(text_col))).alias("ln", "line"))
-    key = lambda h: F.shiftleft(rank(h).cast("long"), _HASH_BITS).bitwiseOR(
-        h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
-    )
-    hashes = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
-    keyed = lines.select("d", "t", "ln", F.sort_array(F.transform(hashes, key)).alias("s")).where(F.size("s") > 0)
+
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        rank = F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.shiftleft(rank, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+
+    keys = F.sort_array(F.array_distinct(F.transform(F.array_remove(_split(F.col("line")), ""), key)))
+    keyed = lines.select("d", "t", "ln", keys.alias("s")).where(F.size("s") > 0)
     bits = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("s")
     length = (n - F.ceil(n * num / den) + 1).cast("int")
@@ -89,12 +102,30 @@ def _allowed(a: str, b: str) -> Column:
     return length & place & apart
 
 
-def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _bit(d: Column, t: Column) -> Column:
+    """A document's place in a bitmap of ``DOC_BITS`` bits."""
+    return F.pmod(F.xxhash64(d, t), F.lit(DOC_BITS))
+
+
+def _maybe_in(bits: DataFrame, bit: Column) -> Column:
+    """Column: whether ``bit`` is among the numbers ``b`` of a table; the bitmap's size doesn't depend on the table's."""
+    parts = bits.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
+    size = 4096  # bytes of each part; parts count from 1
+    whole = bytearray(DOC_BITS // 8 + size)
+    for r in parts:
+        whole[(r["k"] - 1) * size : r["k"] * size] = r["m"]
+    place = (F.bitmap_bucket_number(bit) - 1) * size + F.floor(F.bitmap_bit_position(bit) / 8) + 1
+    byte = F.conv(F.hex(F.call_function("substring", F.lit(whole), place.cast("int"), F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.bitmap_bit_position(bit) % 8).cast("int"))) != 0
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of pairs (later, earlier) of positions, those whose word sets are similar."""
     num, den = THRESHOLD
     wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("p")).distinct()
-    of_doc = wanted.groupBy("p.d", "p.t").agg(F.collect_set("p.ln").alias("lns"))
+    of_doc = materialize(wanted.groupBy("p.d", "p.t").agg(F.collect_set("p.ln").alias("lns")), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("d0"), F.xxhash64(text_col).alias("t0"), F.col(text_col).alias("_text"))
+    texts = texts.where(_maybe_in(of_doc.select(_bit(F.col("d"), F.col("t")).alias("b")), _bit(F.col("d0"), F.col("t0"))))
     found = of_doc.join(texts.withColumn("_lines", _word_lines(F.col("_text"))).drop("_text"), F.col("d").eqNullSafe(F.col("d0")) & (F.col("t") == F.col("t0")))
     lines = found.select("d", "t", F.explode(F.transform("lns", lambda i: F.struct(i.alias("ln"), F.get("_lines", i).alias("line")))).alias("x"))
     sets = lines.select(F.struct("d", "t", "x.ln").alias("p"), F.array_distinct(words(F.col("x.line"))).alias("w")).dropDuplicates(["p"])
@@ -106,42 +137,51 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str,
 
 
 def postings(firsts: DataFrame) -> DataFrame:
-    """(k, i, pos, n, bits): a row for every prefix key."""
-    return firsts.select(F.posexplode("prefix").alias("i", "k"), "pos", "n", "bits").select("k", "i", "pos", "n", "bits")
+    """(k, i, s1, n, bits): a row for every prefix key of every set."""
+    return firsts.select(F.posexplode("prefix").alias("i", "k"), "s1", "n", "bits").select("k", "i", "s1", "n", "bits")
 
 
-def _sides(p: DataFrame) -> tuple[DataFrame, DataFrame]:
-    side = lambda s: p.select("k", *(F.col(c).alias(f"{s}{c}") for c in ("i", "pos", "n", "bits")))
-    return side("a"), side("b")
+def _side(p: DataFrame, s: str) -> DataFrame:
+    return p.select("k", *(F.col(c).alias(f"{s}{c}") for c in ("i", "s1", "n", "bits")))
 
 
 def matched(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(later): positions of the first lines that a similar set precedes."""
-    check = lambda pairs, name: materialize(verified(materialize(pairs, f"{name}_pairs"), docs, firsts, id_col, text_col).select("later").distinct(), name)
-    pair = (F.col("apos").alias("later"), F.col("bpos").alias("earlier"))
-
-    every = materialize(postings(firsts), "postings")
-    long_lists = materialize(every.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > SHORT).select("k"), "long_lists")
-    hot, cold = materialize(every.join(long_lists, "k", "left_semi"), "hot"), every.join(long_lists, "k", "left_anti")
-    probes, heads, gone = hot, hot, None
+    every = postings(firsts)
+    # A list is no longer than the count of its key's bucket: only keys of high classes are counted.
+    high = every.where(F.shiftright("k", _HASH_BITS) >= int(math.log2(SHORT)))
+    long_lists = materialize(high.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > SHORT).select("k"), "long_lists")
+    at = firsts.select("s1", "pos")
+
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        """Positions that come second in a similar pair (as1, bs1)."""
+        one = pairs.join(at.select(F.col("s1").alias("as1"), F.col("pos").alias("p")), "as1")
+        two = one.join(at.select(F.col("s1").alias("bs1"), F.col("pos").alias("q")), "bs1").where("p <> q")
+        placed = materialize(two.select(F.greatest("p", "q").alias("later"), F.least("p", "q").alias("earlier")).distinct(), f"{name}_pairs")
+        return materialize(verified(placed, docs, id_col, text_col).select("later").distinct(), name)
+
+    hot = every.join(long_lists, "k", "left_semi").join(at, "s1")
+    hot = materialize(hot.select("k", "i", "s1", "n", "bits", "pos"), "hot")
+    probes, heads, gone = hot, hot, []
     for turn in range(LEADER_ROUNDS):
-        lead = heads.groupBy("k", "n").agg(F.min(F.struct("pos", "i", "bits")).alias("x")).select("k", F.col("n").alias("bn"), F.col("x.pos").alias("bpos"), F.col("x.i").alias("bi"), F.col("x.bits").alias("bbits"))
-        mine = probes.select("k", *(F.col(c).alias(f"a{c}") for c in ("i", "pos", "n", "bits")))
-        near = mine.join(lead, (mine.k == lead.k) & (mine.an == lead.bn)).where((F.col("bpos") < F.col("apos")) & _allowed("a", "b"))
-        found = check(near.select(*pair).distinct(), f"leaders{turn}")
-        gone = found if gone is None else gone.union(found)
+        lead = heads.groupBy("k", "n").agg(F.min(F.struct("pos", "i", "bits", "s1")).alias("x"))
+        lead = lead.select("k", F.col("n").alias("bn"), F.col("x.pos").alias("bpos"), F.col("x.i").alias("bi"), F.col("x.bits").alias("bbits"), F.col("x.s1").alias("bs1"))
+        mine = _side(probes.drop("pos"), "a").join(lead, "k").where(F.col("an") == F.col("bn"))
+        near = mine.where((F.col("as1") != F.col("bs1")) & _allowed("a", "b")).select("as1", "bs1").distinct()
+        found = check(near, f"leaders{turn}")
+        gone.append(found)
         probes = materialize(probes.join(found, probes.pos == found.later, "left_anti"), f"probes{turn}")
-        led = lead.select(F.col("k").alias("lk"), F.col("bpos").alias("lpos"))
-        heads = probes.join(led, (probes.k == led.lk) & (probes.pos == led.lpos), "left_anti")
-    mine, _ = _sides(probes)
-    _, theirs = _sides(hot)
-    rest = mine.join(theirs, "k").where((F.col("bpos") < F.col("apos")) & _allowed("a", "b")).select(*pair)
+        led = lead.select(F.col("k").alias("lk"), F.col("bs1").alias("ls1"))
+        heads = probes.join(led, (probes.k == led.lk) & (probes.s1 == led.ls1), "left_anti")
+    mine = probes.select("k", F.col("pos").alias("apos"), *(F.col(c).alias(f"a{c}") for c in ("i", "s1", "n", "bits")))
+    theirs = hot.select("k", F.col("pos").alias("bpos"), *(F.col(c).alias(f"b{c}") for c in ("i", "s1", "n", "bits")))
+    rest = mine.join(theirs, "k").where((F.col("bpos") < F.col("apos")) & _allowed("a", "b")).select("as1", "bs1")
 
-    mine, theirs = _sides(cold)
-    cold = mine.join(theirs, "k").where((F.col("bpos") < F.col("apos")) & _allowed("a", "b")).select(*pair)
-    pairs = cold.union(rest).distinct()
-    pairs = pairs.join(gone, "later", "left_anti")
-    return gone.union(check(pairs, "pairs")).distinct()
+    # Both sides of the join read one exchange.
+    cold = every.join(long_lists, "k", "left_anti").repartition("k")
+    near = _side(cold, "a").join(_side(cold, "b"), "k").where((F.col("as1") < F.col("bs1")) & _allowed("a", "b")).select("as1", "bs1")
+    gone.append(check(near.union(rest).distinct(), "pairs"))
+    return reduce(DataFrame.union, gone).distinct()
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,14 +201,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``n_lines`` counts the lines that hold a word.
     """
     kept = find(docs, id_col, text_col).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("kept").alias("_kept"))
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
+    # The input's columns get numbers meanwhile, so none can clash with those of this join.
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*names.values())
+    text, at = F.col(names[text_col]), F.col(names[id_col])
+    keyed = own.withColumns({"_id": at.cast("long"), "_hash": F.xxhash64(text), "_lines": _word_lines(text)})
     joined = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_t")), "left")
-    joined = joined.withColumn("_lines", _word_lines(F.col(text_col)))
     blank = F.filter(F.transform("_lines", lambda x, i: F.when(~x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
     joined = joined.withColumn("_blank", blank).withColumn("_kept", F.coalesce("_kept", F.array().cast("array<int>")))
-    text = F.array_join(F.transform(F.sort_array(F.concat("_kept", "_blank")), lambda i: F.get("_lines", i)), "\n")
+    left = F.array_join(F.transform(F.sort_array(F.concat("_kept", "_blank")), lambda i: F.get("_lines", i)), "\n")
     n_lines = F.size("_lines") - F.size("_blank")
-    out = {c: F.col(c) for c in docs.columns} | {text_col: F.when(F.col(text_col).isNotNull(), text)}
+    out = {c: F.col(n) for c, n in names.items()} | {text_col: F.when(text.isNotNull(), left)}
     return joined.select(
         *(v.alias(c) for c, v in out.items()),
         n_lines.cast("long").alias(f"{prefix}n_lines"),
