@@ -9,7 +9,8 @@
    expected token totals, the sum of r * tokens * p over all documents, match the
    targets.  A gradient has one number per domain, so an iteration is one
    aggregation; documents carry no state, as their rate follows from their
-   posteriors and the steps so far.  Steps are scaled by the inverse Gram matrix
+   posteriors and the steps so far.  Documents whose likeliest domain is the one
+   of the largest weight keep a rate of 1 at least: they are never lost.  Steps are scaled by the inverse Gram matrix
    of the documents with positive rates and halved while they don't help.
 
 ``draw`` turns rates into copies: a rate within ``WHOLE`` of a whole number is that
@@ -67,7 +68,8 @@ def lexicon(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, most
             ws, ds = zip(*seen, strict=True) if seen else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.array(ds, pa.int32()), pa.array(list(seen.values()), pa.int64())], ["w", "d", "c"])
 
-    texts = docs.join(F.broadcast(sample), docs[id_col] == sample.id).select(F.col(text_col).cast("binary").alias("_t"), "d")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("_t"))
+    texts = texts.join(F.broadcast(sample), texts.doc_id == sample.id).select("_t", "d")
     counts = texts.mapInArrow(run, "w binary, d int, c long").groupBy("w").agg(*(F.sum(F.when(F.col("d") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(len(DOMAINS))))
     counts = materialize(counts, "lexicon")
     whole = counts.where("length(w) = 0").first()
@@ -167,17 +169,23 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return table.mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
-def _rates(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Rates after projected steps, from rate 1."""
+def _rates(p: np.ndarray, steps: np.ndarray, keep: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rates after projected steps from rate 1, their lower bounds): 0, but 1 where domain ``keep`` is the likeliest."""
+    least = np.zeros(len(p)) if keep is None else (p.argmax(axis=1) == keep).astype(float)
     r = np.ones(len(p))
     for step in steps:
-        r = np.maximum(0.0, r - p @ step)
-    return r
+        r = np.maximum(least, r - p @ step)
+    return r, least
+
+
+def anchor_of(weights: dict[str, float]) -> int:
+    """The domain of the largest weight: the mixture keeps its documents and its size."""
+    return max(range(len(DOMAINS)), key=lambda k: weights[DOMAINS[k]])
 
 
 def fit_steps(table: DataFrame, weights: dict[str, float] = WEIGHTS, iterations: int = ITERATIONS, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(steps, targets, totals reached) of the projected gradient on a table (doc_id, n_tokens, p)."""
-    k = len(DOMAINS)
+    k, anchor = len(DOMAINS), anchor_of(weights)
 
     def totals(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +193,9 @@ def fit_steps(table: DataFrame, weights: dict[str, float] = WEIGHTS, iterations:
             for b in batches:
                 if b.num_rows:
                     n, p = b.column(0).to_numpy().astype(float), b.column(1).flatten().to_numpy().reshape(b.num_rows, k)
-                    r = _rates(p, steps)
+                    r, least = _rates(p, steps, anchor)
                     out[:k] += (n * r) @ p
-                    out[k:] += ((n * (r > 0))[:, None] * p).T.dot(p).ravel()
+                    out[k:] += ((n * (r > least))[:, None] * p).T.dot(p).ravel() if len(steps) else (n[:, None] * p).T.dot(p).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["at", "v"])
 
         got = table.select("n_tokens", "p").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
@@ -203,7 +211,8 @@ def fit_steps(table: DataFrame, weights: dict[str, float] = WEIGHTS, iterations:
     if not share.any():
         return steps, np.zeros(k), now
     share = share / share.sum()
-    anchor = int(np.argmax(share))
+    if not share[anchor]:
+        return steps, share * now.sum(), now
     targets = share * now[anchor] / share[anchor]
     size = 1.0
     for _ in range(iterations):
@@ -224,12 +233,13 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
     """Per document: doc_id, n_tokens, p_low, p_clean, p_toxic, rate."""
     table = materialize(posteriors(docs, labels, id_col, text_col), "posteriors")
     steps, _, _ = fit_steps(table, weights)
+    anchor = anchor_of(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 p = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
-                columns = [b.column(0), b.column(1), *(pa.array(c) for c in p.T.copy()), pa.array(_rates(p, steps))]
+                columns = [b.column(0), b.column(1), *(pa.array(c) for c in p.T.copy()), pa.array(_rates(p, steps, anchor)[0])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
 
     return table.mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS) + ", rate double")
@@ -244,8 +254,10 @@ def copies(rate: F.Column, id_col: F.Column) -> F.Column:
 
 def draw(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents of the mixture, all columns kept: each as often as its rate says."""
-    rates = mixed.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("rate").alias("_mix_rate"))
-    joined = docs.join(rates, docs[id_col].eqNullSafe(rates._mix_id), "left")
-    times = F.greatest(F.lit(0), copies(F.col("_mix_rate"), F.col(id_col)))
-    repeated = joined.withColumn("_mix_times", times).where("_mix_times > 0")
-    return repeated.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*(docs[c] for c in docs.columns))
+    rates = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("rate").alias("_rate"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that none clashes
+    own, at = docs.toDF(*names.values()), F.col(names[id_col])
+    joined = own.join(rates, at.eqNullSafe(F.col("_id")), "left")
+    times = F.greatest(F.lit(0), copies(F.col("_rate"), at))
+    repeated = joined.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return repeated.select(*(F.col(n).alias(c) for c, n in names.items()))
