@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: ASCII blanks: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,11 +36,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts lineage: whatever executor is lost afterwards, later stages read
-    files, and nothing above is computed a second time.
+    files, and nothing above is computed a second time.  The write's own shuffle
+    files go as soon as it is done.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
