@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._common import materialize, ship
 
-K, BEAM, ROUNDS, BLOCK, TABLES, BUCKET = 16, 32, 4, 256, 6, 96
+K, BEAM, ROUNDS, BLOCK, TABLES, BUCKET = 32, 96, 6, 256, 6, 96
 #: Nodes, spread over the graph, from which every query starts besides its own.
 ENTRIES = 64
 MAX_STEPS = 30
@@ -174,9 +174,8 @@ def build(nodes: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     return graph
 
 
-def _cosine(a, b):
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
 
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
@@ -186,11 +185,12 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
     """
     both = materialize(graph.select("u", "v").union(graph.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
     entries = nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(ENTRIES)
-    queries = materialize(queries, "queries")
+    queries = materialize(queries.select("q", "qv", "own", F.sqrt(_dot("qv", "qv")).alias("qn")), "queries")
+    nodes = materialize(nodes.select("id", "v", F.sqrt(_dot("v", "v")).alias("vn")), "norms")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        found = pairs.join(queries.select("q", "qv"), "q").join(nodes, "id")
-        return found.select("q", "id", _cosine(F.col("qv"), F.col("v")).alias("s"), F.lit(False).alias("done"))
+        found = pairs.join(queries.select("q", "qv", "qn"), "q").join(nodes, "id")
+        return found.select("q", "id", (_dot("qv", "v") / (F.col("qn") * F.col("vn"))).alias("s"), F.lit(False).alias("done"))
 
     def nearest(pairs: DataFrame) -> DataFrame:
         order = Window.partitionBy("q").orderBy(F.desc("s"), "id")
