@@ -10,14 +10,13 @@ hidden states, from each state a word class, and from the class a word:
   one of ``SUFFIXES`` classes by its last bytes.  Classes are bounded in number,
   so the model is, however large the vocabulary.
 * ``A`` and ``B`` come from Baum-Welch: each iteration runs the scaled forward and
-  backward recursions over all training texts where they lie, sums the expected
+  backward recursions over all training texts (in segments) where they lie, sums the expected
   counts across partitions, and brings states x classes numbers to the driver.
 * P(word | class) comes from exact counts over all training texts with absolute
   discounting; what the discount frees is the unseen words' share of the class.
 * Scoring runs the scaled forward recursion over each whole text.
 
-Counts of the ``TOP`` most frequent words travel to the tasks (a fixed number of
-words); occurrences of all others join the count table by word.
+Counts of up to ``TOP`` most frequent words travel to the tasks; occurrences of all others join the count table by word.
 
 Edge cases: a null or empty text is the end token alone; a null id belongs to the
 training part; repeated rows count and are scored each on its own; with no
@@ -40,14 +39,17 @@ from pyspark.sql import functions as F
 
 from ._common import materialize, ship
 
-STATES, OWN, SUFFIXES, TOP = 8, 4096, 1024, 200_000
+STATES, OWN, SUFFIXES, TOP = 8, 4096, 1024, 100_000
 CLASSES = OWN + SUFFIXES
 ITERATIONS = 5
 #: Class of the end token; other words of their own have classes 1 .. OWN-1.
 END = 0
 #: Weight of the corpus-wide class distribution in each state's emissions, in tokens.
 SMOOTH = 50.0
-#: Distinct words that a task counts before it hands them on; cells in a padded batch.
+#: Tokens per segment in training: Baum-Welch takes longer texts as several sequences, all of them counted,
+#: so that many run side by side.  Scoring runs over whole texts.
+SEGMENT = 1024
+#: Distinct words that a task counts before it hands them on; cells in a padded batch whose values are kept.
 _FLUSH, _CELLS = 400_000, 1 << 18
 
 
@@ -83,16 +85,39 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("w", "k").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int = TOP) -> list[tuple[bytes, int]]:
+    """At most ``most`` words with their counts, most frequent first: all whose count reaches a threshold.
+
+    The threshold comes from counts of counts on a logarithmic scale, so no task
+    and no driver holds more candidates than are kept.
+    """
+    scale = F.floor(F.log2("c") * 8).cast("int")
+    sizes = sorted(((r["b"], r["n"]) for r in counts.groupBy(scale.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, kept = None, 0
+    for b, n in sizes:
+        if kept + n > most:
+            break
+        least, kept = b, kept + n
+    if least is None:
+        return []
+    got = counts.where(scale >= least).select("w", "c").toArrow()
+    return sorted(zip(got.column("w").to_pylist(), got.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
 # -- recursions ---------------------------------------------------------------
 
 
-def _padded(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def segments(sequence: np.ndarray) -> list[np.ndarray]:
+    return [sequence[i : i + SEGMENT] for i in range(0, len(sequence), SEGMENT)]
+
+
+def _padded(sequences: list[np.ndarray], cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Batches (which, x, active): sequences of like length side by side, time first, longest first."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     at = 0
     while at < len(order):
         longest = len(sequences[order[at]])
-        which = np.array(order[at : at + max(1, min(512, _CELLS // longest))])
+        which = np.array(order[at : at + max(1, min(512, cells // longest))])
         at += len(which)
         lengths = np.array([len(sequences[i]) for i in which])
         x = np.zeros((longest, len(which)), np.int32)
@@ -101,45 +126,61 @@ def _padded(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
         yield which, x, np.searchsorted(-lengths, -np.arange(longest), "left")
 
 
-def forward(x: np.ndarray, active: np.ndarray, pi: np.ndarray, a: np.ndarray, emit: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Natural log-likelihoods, and if ``keep`` the scaled forward values and scales."""
+def log_likelihoods(x: np.ndarray, active: np.ndarray, pi: np.ndarray, a: np.ndarray, emit: np.ndarray, block: int = 128) -> np.ndarray:
+    """Natural log-likelihood of every column of a batch, by the scaled forward recursion."""
     t_max, n = x.shape
-    total = np.zeros(n)
-    alphas = np.zeros((t_max, n, len(pi))) if keep else None
-    scales = np.ones((t_max, n)) if keep else None
+    total, ones = np.zeros(n), np.ones(len(pi))
     alpha = np.broadcast_to(pi, (n, len(pi)))
-    for t in range(t_max):
-        b = active[t]
-        alpha = (alpha[:b] @ a if t else alpha) * emit[x[t, :b]]
-        scale = alpha.sum(axis=1)
-        alpha = alpha / scale[:, None]
-        total[:b] += np.log(scale)
-        if keep:
-            alphas[t, :b], scales[t, :b] = alpha, scale
-    return total, alphas, scales
+    for first in range(0, t_max, block):
+        last = min(t_max, first + block)
+        width = active[first]
+        seen, scales = emit[x[first:last, :width]], np.ones((last - first, width))
+        for t in range(first, last):
+            b = active[t]
+            alpha = (alpha[:b] @ a if t else alpha) * seen[t - first, :b]
+            scale = np.matmul(alpha, ones, out=scales[t - first, :b])
+            alpha /= scale[:, None]
+        total[:width] += np.log(scales).sum(axis=0)
+    return total
 
 
 def expected_counts(sequences: list[np.ndarray], pi: np.ndarray, a: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts: starts, transitions, emissions (classes x states), and the log-likelihood."""
     s = len(pi)
     starts, moves, emits, logl = np.zeros(s), np.zeros((s, s)), np.zeros((emit.shape[0], s)), 0.0
-    for _, x, active in _padded(sequences):
-        total, alphas, scales = forward(x, active, pi, a, emit, True)
-        logl += float(total.sum())
+    ones, back = np.ones(s), np.ascontiguousarray(a.T)
+    for _, x, active in _padded(sequences, _CELLS):
         t_max, n = x.shape
-        beta, after = np.ones((n, s)), np.zeros_like(alphas)
-        gamma = np.zeros_like(alphas)
-        for t in range(t_max - 1, -1, -1):
+        seen = emit[x]
+        alphas, scales = np.zeros((t_max, n, s)), np.ones((t_max, n))
+        for t in range(t_max):
             b = active[t]
-            if t + 1 < t_max and (c := active[t + 1]):
-                after[t + 1, :c] = emit[x[t + 1, :c]] * beta[:c] / scales[t + 1, :c, None]
-                beta[:c] = after[t + 1, :c] @ a.T
-            gamma[t, :b] = alphas[t, :b] * beta[:b]
-        starts += gamma[0].sum(axis=0)
+            now, scale = alphas[t, :b], scales[t, :b]
+            if t:
+                np.matmul(alphas[t - 1, :b], a, out=now)
+                now *= seen[t, :b]
+            else:
+                np.multiply(pi, seen[0], out=now)
+            np.matmul(now, ones, out=scale)
+            now /= scale[:, None]
+        logl += float(np.log(scales).sum())
+        # after: what follows a cell, as seen from the state it is entered in.
+        betas, after = np.ones((t_max, n, s)), np.zeros((t_max, n, s))
+        for t in range(t_max - 2, -1, -1):
+            c = active[t + 1]
+            into = after[t + 1, :c]
+            np.multiply(seen[t + 1, :c], betas[t + 1, :c], out=into)
+            into /= scales[t + 1, :c, None]
+            np.matmul(into, back, out=betas[t, :c])
         moves += a * (alphas[:-1].reshape(-1, s).T @ after[1:].reshape(-1, s))
-        flat, g = x.ravel(), gamma.reshape(-1, s)
-        for j in range(s):
-            emits[:, j] += np.bincount(flat, g[:, j], emit.shape[0])
+        gamma = np.multiply(betas, alphas, out=betas)  # idle cells are zero
+        starts += gamma[0].sum(axis=0)
+        # Expected emissions: cells sorted by class, then summed run by run.
+        flat = x.ravel()
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        by_class = flat[order]
+        runs = np.flatnonzero(np.r_[True, by_class[1:] != by_class[:-1]])
+        emits[by_class[runs]] += np.add.reduceat(gamma.reshape(-1, s)[order], runs, axis=0)
     return starts, moves, emits, logl
 
 
@@ -174,16 +215,16 @@ def encode(docs: DataFrame, top: list[tuple[bytes, int]], discount: float, id_co
     counts = np.array([c for _, c in top], np.float64)
     classes = np.array([i + 1 if i + 1 < OWN else suffix_class(w) for i, (w, _) in enumerate(top)], np.uint16)
     sent = spark.sparkContext.broadcast((ids, classes, np.log10(counts + 1), np.where(classes >= OWN, np.log10(np.maximum(counts - discount, 1e-9)), 0.0)))
-    tail = pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, classes, base, within = sent.value
-        key = TaskContext.get().partitionId() << 33
+        key, get = TaskContext.get().partitionId() << 33, ids.get
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(5)]
+            ends, rare_words, rare_classes = [0], [], []
             for t in b.column(2):
                 ws = (t.as_py() or b"").lower().split()
-                at = np.fromiter((ids.get(w, -1) for w in ws), np.int64, len(ws))
+                at = np.array([get(w, -1) for w in ws], np.int64)
                 rare = np.flatnonzero(at < 0)
                 known = at[at >= 0]
                 cls = np.zeros(len(ws) + 1, np.uint16)
@@ -193,14 +234,18 @@ def encode(docs: DataFrame, top: list[tuple[bytes, int]], discount: float, id_co
                 others = [ws[i] for i in rare.tolist()]
                 ks = [suffix_class(w) for w in others]
                 cls[rare] = ks
-                row = (cls.tobytes(), len(ws) + 1, len(known), float(base[known].sum()) if len(known) else 0.0, float(within[known].sum()) if len(known) else 0.0, list(zip(others, ks, strict=True)))
+                rare_words += others
+                rare_classes += ks
+                ends.append(len(rare_words))
+                row = (cls.tobytes(), len(ws) + 1, len(known), float(base[known].sum()) if len(known) else 0.0, float(within[known].sum()) if len(known) else 0.0)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             keys = pa.array(range(key, key + b.num_rows), pa.int64())
             key += b.num_rows
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            rest = pa.array([[{"w": w, "k": k} for w, k in x] for x in cols[5]], tail)
-            arrays = [keys, b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=False)), rest]
+            pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_classes, pa.int32())], ["w", "k"])
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            arrays = [keys, b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), rest]
             yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "held_out", "cls", "n_tokens", "n_top", "base_part", "words_part", "rare"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("binary").alias("_t"))
@@ -216,7 +261,7 @@ def baum_welch_step(training: DataFrame, model: tuple[np.ndarray, np.ndarray, np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(s + s * s + c * s + 1)
         for b in batches:
-            sequences = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(0)]
+            sequences = [part for x in b.column(0) for part in segments(np.frombuffer(x.as_buffer(), np.uint16))]
             starts, moves, emits, logl = expected_counts(sequences, *sent.value)
             total += np.concatenate([starts, moves.ravel(), emits.ravel(), [logl]])
         at = np.flatnonzero(total)
@@ -239,7 +284,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", itera
     discount = min(0.9, max(0.1, n1 / max(1, n1 + 2 * n2)))
     train_tokens = n_words + n_train
     kinds = n_kinds + (n_train > 0)
-    top = [(bytes(r["w"]), r["c"]) for r in counts.orderBy(F.desc("c"), "w").limit(TOP).collect()]
+    top = frequent(counts)
     rows = materialize(encode(docs, top, discount, id_col, text_col), "encoded")
 
     # Members of suffix classes: all words but those that are classes of their own.
@@ -279,8 +324,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", itera
         for b in batches:
             sequences = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(1)]
             out = np.zeros(b.num_rows)
-            for which, x, active in _padded(sequences):
-                out[which] = forward(x, active, pi, a, emit, False)[0] / math.log(10)
+            for which, x, active in _padded(sequences, 1 << 24):
+                out[which] = log_likelihoods(x, active, pi, a, emit) / math.log(10)
             out += np.array([per[s].sum() for s in sequences])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["key", "path_part"])
 
