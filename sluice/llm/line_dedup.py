@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, materialize, words
+from ._common import BLANKS, discard, materialize, words
 
 #: Jaccard similarity as a fraction.
 THRESHOLD = (4, 5)
@@ -79,7 +79,7 @@ def first_lines(docs: DataFrame, classes: bytes, id_col: str, text_col: str) ->
         return F.shiftleft(rank, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
     keys = F.sort_array(F.array_distinct(F.transform(F.array_remove(_split(F.col("line")), ""), key)))
-    keyed = lines.select("d", "t", "ln", keys.alias("s")).where(F.size("s") > 0)
+    keyed = lines.select("d", "t", "ln", keys.alias("s"))
     bits = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("s")
     length = (n - F.ceil(n * num / den) + 1).cast("int")
@@ -88,7 +88,8 @@ def first_lines(docs: DataFrame, classes: bytes, id_col: str, text_col: str) ->
         F.hash("s", F.lit(1)).alias("s2"),
         F.struct(F.struct("d", "t", "ln").alias("pos"), n.alias("n"), bits.alias("bits"), F.slice("s", F.lit(1), length).alias("prefix")).alias("x"),
     )
-    return rows.groupBy("s1", "s2").agg(F.min("x").alias("x")).select("s1", "s2", "x.pos", "x.n", "x.bits", "x.prefix")
+    # Lines without words go only here: a filter above would have all keys computed twice.
+    return rows.groupBy("s1", "s2").agg(F.min("x").alias("x")).select("s1", "s2", "x.pos", "x.n", "x.bits", "x.prefix").where("n > 0")
 
 
 def _allowed(a: str, b: str) -> Column:
@@ -119,8 +120,8 @@ def _maybe_in(bits: DataFrame, bit: Column) -> Column:
     return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.bitmap_bit_position(bit) % 8).cast("int"))) != 0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (later, earlier) of positions, those whose word sets are similar."""
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """Positions that come second in pairs (later, earlier) whose word sets are similar, as a table ``name``."""
     num, den = THRESHOLD
     wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("p")).distinct()
     of_doc = materialize(wanted.groupBy("p.d", "p.t").agg(F.collect_set("p.ln").alias("lns")), "wanted")
@@ -133,7 +134,10 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     one = pairs.join(sets.select(F.col("p").alias("later"), F.col("w").alias("wa")), "later")
     two = one.join(sets.select(F.col("p").alias("earlier"), F.col("w").alias("wb")), "earlier")
     common = F.size(F.array_intersect("wa", "wb"))
-    return two.where((num + den) * common >= num * (F.size("wa") + F.size("wb"))).select("later", "earlier")
+    similar = two.where((num + den) * common >= num * (F.size("wa") + F.size("wb")))
+    found = materialize(similar.select("later").distinct(), name)
+    discard(sets, of_doc)
+    return found
 
 
 def postings(firsts: DataFrame) -> DataFrame:
@@ -158,11 +162,13 @@ def matched(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> D
         one = pairs.join(at.select(F.col("s1").alias("as1"), F.col("pos").alias("p")), "as1")
         two = one.join(at.select(F.col("s1").alias("bs1"), F.col("pos").alias("q")), "bs1").where("p <> q")
         placed = materialize(two.select(F.greatest("p", "q").alias("later"), F.least("p", "q").alias("earlier")).distinct(), f"{name}_pairs")
-        return materialize(verified(placed, docs, id_col, text_col).select("later").distinct(), name)
+        found = verified(placed, docs, id_col, text_col, name)
+        discard(placed)
+        return found
 
     hot = every.join(long_lists, "k", "left_semi").join(at, "s1")
     hot = materialize(hot.select("k", "i", "s1", "n", "bits", "pos"), "hot")
-    probes, heads, gone = hot, hot, []
+    probes, heads, gone, spent = hot, hot, [], [hot, long_lists]
     for turn in range(LEADER_ROUNDS):
         lead = heads.groupBy("k", "n").agg(F.min(F.struct("pos", "i", "bits", "s1")).alias("x"))
         lead = lead.select("k", F.col("n").alias("bn"), F.col("x.pos").alias("bpos"), F.col("x.i").alias("bi"), F.col("x.bits").alias("bbits"), F.col("x.s1").alias("bs1"))
@@ -171,6 +177,7 @@ def matched(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> D
         found = check(near, f"leaders{turn}")
         gone.append(found)
         probes = materialize(probes.join(found, probes.pos == found.later, "left_anti"), f"probes{turn}")
+        spent.append(probes)
         led = lead.select(F.col("k").alias("lk"), F.col("bs1").alias("ls1"))
         heads = probes.join(led, (probes.k == led.lk) & (probes.s1 == led.ls1), "left_anti")
     mine = probes.select("k", F.col("pos").alias("apos"), *(F.col(c).alias(f"a{c}") for c in ("i", "s1", "n", "bits")))
@@ -181,7 +188,9 @@ def matched(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> D
     cold = every.join(long_lists, "k", "left_anti").repartition("k")
     near = _side(cold, "a").join(_side(cold, "b"), "k").where((F.col("as1") < F.col("bs1")) & _allowed("a", "b")).select("as1", "bs1")
     gone.append(check(near.union(rest).distinct(), "pairs"))
-    return reduce(DataFrame.union, gone).distinct()
+    later = materialize(reduce(DataFrame.union, gone).distinct(), "later")
+    discard(*spent, *gone)
+    return later
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +201,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     firsts = materialize(first_lines(docs, frequency_classes(docs, text_col), id_col, text_col), "firsts")
     later = matched(docs, firsts, id_col, text_col)
     stay = firsts.select("pos").join(later, firsts.pos == later.later, "left_anti")
-    return stay.groupBy("pos.d", "pos.t").agg(F.collect_list("pos.ln").alias("kept"))
+    kept = materialize(stay.groupBy("pos.d", "pos.t").agg(F.collect_list("pos.ln").alias("kept")), "kept")
+    discard(firsts, later)
+    return kept
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
