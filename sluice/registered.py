@@ -303,7 +303,7 @@ def _incremental(text: str) -> Callable[[SparkSession, str], DataFrame]:
         customers = read("customer").select(F.col("c_custkey").alias("_id"), "c_name", "c_mktsegment")
         put = lambda df: df.withColumn("_op", F.lit("put"))
         gone = lambda df: df.withColumn("_op", F.lit("delete"))
-        engine = Engine(spark, _shared(spark))
+        engine = Engine(spark)
         engine.register_query("q", text)
         # Customers come, then all orders; some orders change and others go; last, customers change and go.
         engine.apply_changes("customer", put(customers))
@@ -319,15 +319,6 @@ def _incremental(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def _shared(spark: SparkSession) -> str | None:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        return None
-    import uuid
-
-    return f"{at.rstrip('/')}/engine-{uuid.uuid4().hex}"
-
-
 QUERIES = {n: _batch(t) for n, (t, _) in TEXTS.items()} | {n: _incremental(t) for n, (t, _) in INCREMENTAL.items()}
 ORACLE_SQL = {n: s for n, (_, s) in TEXTS.items()} | {n: _AFTER + s for n, (_, s) in INCREMENTAL.items()}
 FLAGSHIP = "pipeline_flagship"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -20,7 +19,7 @@ from ..plans.dsl import Q
 from ..plans.parser import parse
 from ..sources.catalog import Catalog
 from .incremental import Changes
-from .state import ResultLog, Store, TableState, latest
+from .state import ResultLog, Store, TableState, fresh_folder, latest
 from .zset import ChangeSet, conform
 
 Callback = Callable[[ChangeSet], None]
@@ -53,7 +52,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, path: str | None = None, parallel: int = 4):
         self.spark, self.parallel = spark, parallel
-        self.store = Store(spark, path or "file://" + tempfile.mkdtemp(prefix="sluice-engine-"))
+        self.store = Store(spark, path or fresh_folder(spark))
         self.tables: dict[str, TableState] = {}
         self.queries: dict[str, RegisteredQuery] = {}
         self.last_batch: int | None = None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from dataclasses import dataclass, replace
 
@@ -17,6 +18,12 @@ from .zset import ChangeSet, change_set, conform, consolidate, union, weighted
 MERGE_SHARE, MERGE_ROWS, MERGE_LOGS = 0.2, 10_000, 16
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder where ``spark.checkpoint.dir`` says; only where that is unset, on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/engine-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="sluice-engine-")
+
+
 class Store:
     """A folder in any file system that Spark reaches."""
 
