@@ -13,9 +13,9 @@
    of the largest weight keep a rate of 1 at least: they are never lost.  Steps are scaled by the inverse Gram matrix
    of the documents with positive rates and halved while they don't help.
 
-``draw`` turns rates into copies: a rate within ``WHOLE`` of a whole number is that
-number, any other is rounded up with the probability of its fraction, by the
-hash of the id.
+``draw`` turns rates into copies: every rate is rounded up with the probability of
+its fraction, by the hash of the id, so the expected totals of the drawn documents
+are the fitted ones.
 
 Edge cases: a null text has no tokens and gets the posteriors of an empty text;
 null labels teach nothing; without labels all documents have equal posteriors; a
@@ -39,7 +39,7 @@ from ._common import materialize, ship
 DOMAINS = ("low", "clean", "toxic")
 #: Target share of each domain in the mixture; the clean domain keeps its size.
 WEIGHTS = {"low": 0.01, "clean": 0.98, "toxic": 0.01}
-MAX_LABELLED, LEXICON, WHOLE, ITERATIONS = 20_000, 200, 0.1, 40
+MAX_LABELLED, LEXICON, ITERATIONS = 20_000, 200, 40
 _FEATURES = ["symbols", "capitals", "bangs", "repeats", "word_length", "short", *(f"lexicon_{d}" for d in DOMAINS)]
 _CAPITALS, _SYMBOLS = bytes(range(65, 91)), b"#*$%&|<>"
 
@@ -247,9 +247,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
 
 def copies(rate: F.Column, id_col: F.Column) -> F.Column:
     """Column: how often a document of this rate stands in the mixture."""
-    near = F.floor(rate + 0.5)
     u = F.when(id_col.isNull(), F.lit(0.5)).otherwise(F.pmod(F.xxhash64(id_col, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30))
-    return F.when(F.abs(rate - near) <= WHOLE, near).otherwise(F.floor(rate + u)).cast("int")
+    return F.floor(rate + u).cast("int")
 
 
 def draw(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:

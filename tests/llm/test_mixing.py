@@ -31,6 +31,21 @@ def test_held_out_domains_and_targets(spark):
     assert drawn.columns == docs.columns
 
 
+def test_drawn_shares_meet_targets(spark):
+    kinds = {"low": (0, 1000, "spam{0}$$$ buy%%% now*** " * 2), "clean": (10000, 8000, "calm sentence {} about rivers and hills "), "toxic": (20000, 1000, "vile rotten sentence {} about rivers and hills ")}
+    rows = {d: [(at + i, text.format(i) * 10) for i in range(n)] for d, (at, n, text) in kinds.items()}
+    docs = documents(spark, [r for part in rows.values() for r in part])
+    told = {"low": (0, 0), "clean": (1, 0), "toxic": (1, 1)}
+    labels = spark.createDataFrame([(i, *told[d]) for d, part in rows.items() for i, _ in part[::2]], "doc_id long, quality int, toxic int")
+    mixed = M.materialize(M.mix(docs, labels), "mixed")
+    assert mixed.where("p_clean < 0.5 and rate <= 0.1").count() == 2000  # small rates, not none
+    tokens = dict.fromkeys(kinds, 0)
+    for r in M.draw(docs, mixed).collect():
+        tokens[M.DOMAINS[r["doc_id"] // 10000]] += len(r["text"].split())
+    share = {d: n / sum(tokens.values()) for d, n in tokens.items()}
+    assert all(abs(share[d] - w) < 5e-3 for d, w in M.WEIGHTS.items()), share  # three standard deviations of the clean share
+
+
 def test_projection_keeps_rates_nonnegative():
     p = np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]])
     steps = np.array([[5.0, 0.0], [-1.0, 0.0]])
