@@ -104,15 +104,15 @@ def _allowed(a: str, b: str) -> Column:
 
 
 def _bit(d: Column, t: Column) -> Column:
-    """A document's place in a bitmap of ``DOC_BITS`` bits."""
-    return F.pmod(F.xxhash64(d, t), F.lit(DOC_BITS))
+    """A document's place in a bitmap of ``DOC_BITS`` bits, from 1: only then do buckets count from 1."""
+    return F.pmod(F.xxhash64(d, t), F.lit(DOC_BITS)) + 1
 
 
 def _maybe_in(bits: DataFrame, bit: Column) -> Column:
     """Column: whether ``bit`` is among the numbers ``b`` of a table; the bitmap's size doesn't depend on the table's."""
     parts = bits.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
     size = 4096  # bytes of each part; parts count from 1
-    whole = bytearray(DOC_BITS // 8 + size)
+    whole = bytearray(DOC_BITS // 8)
     for r in parts:
         whole[(r["k"] - 1) * size : r["k"] * size] = r["m"]
     place = (F.bitmap_bucket_number(bit) - 1) * size + F.floor(F.bitmap_bit_position(bit) / 8) + 1

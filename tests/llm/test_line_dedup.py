@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from sluice.llm import line_dedup as L
 from sluice.llm import queries
 
@@ -52,6 +54,16 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_first_and_last_bit_of_the_document_bitmap(spark):
+    text = "a b c d e f g h i j\na b c d e f g h i k"
+    bit = F.pmod(F.xxhash64("id", F.xxhash64(F.lit(text))), F.lit(L.DOC_BITS))
+    ids = spark.range(20_000_000).select("id", bit.alias("b")).where(F.col("b").isin(0, L.DOC_BITS - 1))
+    for r in ids.groupBy("b").agg(F.min("id").alias("id")).collect():
+        got = L.deduplicate(documents(spark, [(r["id"], text)]).select("doc_id", "text")).collect()
+        assert [tuple(x) for x in got] == [(r["id"], text.split("\n")[0], 2, 1)], r["b"]
+    assert ids.select("b").distinct().count() == 2
+
+
 def test_against_sql(spark, sf):
     df = queries.QUERIES["op1_line_dedup"](spark, sf)
     assert compare(df, connect(sf), queries.ORACLE_SQL["op1_line_dedup"]) == 200
