@@ -15,6 +15,15 @@ Equal fingerprints are one node, whatever their number.  The links join nodes,
 and the components come from alternating large-star and small-star steps over
 tables; nothing that grows with the corpus reaches the driver.
 
+``similar`` links documents by the Jaccard similarity of their shingles instead, as
+the pipeline asks: pairs at 0.8 differ in about 10 fingerprint bits and often in
+more, so no radius that anchors can cover holds them all.  Its candidates come from
+an exact prefix filter: under any one order of shingles (here by the count of a
+hashed bucket, rare first) two such sets share a shingle of their prefixes.
+Candidates are verified on the whole sets of shingle hashes.  In lists of over
+``SHORT`` sets, all are first held against the first one; pairs of sets that are
+both linked to it are connected already and are left out.
+
 Edge cases: a null or blank text has fingerprint zero and links like any other;
 a null id takes part but never names a component (a component without any id is
 null); repeated rows give repeated result rows; an empty table gives no rows.
@@ -31,9 +40,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, ship
+from ._common import discard, materialize, ship
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 3
+#: Shingle length and Jaccard similarity (as a fraction) of ``similar``.
+WIDE, SIMILARITY = 5, (4, 5)
+BUCKETS, SHORT = 1 << 18, 64
 #: Hashes whose bits are counted at once; bounds memory for very long texts.
 _BLOCK = 1 << 16
 
@@ -150,6 +162,112 @@ def near_duplicates(
     return prints.join(of_print, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def shingle_hashes(text: bytes | None, shingle: int = WIDE) -> np.ndarray:
+    """Hashes of the distinct shingles of a UTF-8 text; a shorter text is one shingle, a blank one has none."""
+    words = (text or b"").lower().split()
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    if n <= shingle:
+        return np.array([digest(joined, SEED)], np.uint64)
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    first = np.concatenate(([0], end[: n - shingle] + 1))
+    spans = zip(first.tolist(), end[shingle - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(first)))
+
+
+def _keys(text: bytes | None, classes: np.ndarray) -> np.ndarray:
+    """Sorted keys of a text's shingles: the class of the bucket, then the hash, so rare ones come first."""
+    h = shingle_hashes(text)
+    return np.unique((classes[(h & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(58)) | (h >> np.uint64(6))).view(np.int64)
+
+
+def shingle_classes(texts: DataFrame) -> np.ndarray:
+    """The frequency class of every bucket of shingles: ``BUCKETS`` numbers, whatever the size of the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                seen += 0 if not len(h := shingle_hashes(x.as_py())) else np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["b", "c"])
+
+    got = texts.select("_t").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c"))
+    out = np.zeros(BUCKETS, np.uint64)
+    for r in got.select("b", F.least(F.lit(31), F.floor(F.log2(F.col("c") + 1))).cast("int").alias("k")).toLocalIterator():
+        out[r["b"]] = r["k"]
+    return out
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, component_id (smallest doc_id reachable by pairs of ``SIMILARITY``, itself included)."""
+    num, den = SIMILARITY
+    spark = docs.sparkSession
+    ship(spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("_t"))
+    sent = spark.sparkContext.broadcast(shingle_classes(texts))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, ns, prefix = [], [], []
+            for x in b.column(2):
+                s = _keys(x.as_py(), sent.value)
+                n = len(s)
+                nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                ns.append(n)
+                prefix.append(s[: n + (num * n) // -den + 1] if n else s)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["doc_id", "t", "node", "n", "prefix"],
+            )
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_keys(x.as_py(), sent.value) for x in b.column(1)], pa.list_(pa.int64()))], ["node", "s"])
+
+    own = materialize(texts.mapInArrow(prefixes, "doc_id long, t long, node long, n int, prefix array<long>"), "prefixes")
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), F.min(F.struct("n", "prefix")).alias("x"))
+    nodes = materialize(nodes.select("node", "least", "t", "x.n", "x.prefix"), "nodes")
+    every = nodes.select("node", "n", F.posexplode("prefix").alias("i", "k"))
+    counts = every.groupBy("k").agg(F.count("*").alias("c"))
+    lists = materialize(every.join(counts.where("c > 1"), "k"), "lists")
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        return df.select("k", *(F.col(c).alias(f"{s}{c}") for c in ("node", "n", "i")))
+
+    def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+        length = (den * F.col("an") >= num * F.col("bn")) & (den * F.col("bn") >= num * F.col("an"))
+        place = (num + den) * F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= num * (F.col("an") + F.col("bn"))
+        met = side(a, "a").join(side(b, "b"), "k").where((F.col("anode") != F.col("bnode")) & length & place)
+        return met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = materialize(pairs.distinct(), f"{name}_pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "t"), "node")
+        found = wanted.join(texts.select("t", "_t"), "t").dropDuplicates(["node"]).select("node", "_t")
+        sets = materialize(found.mapInArrow(whole, "node long, s array<long>"), "sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        out = materialize(both.where((num + den) * common >= num * (F.size("sa") + F.size("sb"))).select("a", "b"), name)
+        discard(pairs, sets)
+        return out
+
+    hot, cold = lists.where(F.col("c") > SHORT), lists.where(F.col("c") <= SHORT)
+    lead = hot.groupBy("k").agg(F.min(F.struct("node", "n", "i")).alias("x")).select("k", "x.node", "x.n", "x.i")
+    led = verified(candidates(hot, lead), "led")
+    of_lead = hot.join(lead.select("k", F.col("node").alias("l")), "k").select("k", "node", "l", F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
+    bound = of_lead.join(led, ["a", "b"], "left_semi").select("k", "node")
+    free = hot.join(bound, ["k", "node"], "left_anti")
+    edges = led.union(verified(candidates(cold, cold).union(candidates(free, hot)), "similar"))
+    roots = components(edges.distinct())
+    placed = nodes.select("node", "least").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    placed = placed.select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.select("doc_id", "node").join(placed.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
 def hex_of(fp):
     """Column: 16 lower-case hex digits of a long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -84,3 +84,28 @@ def test_edges(spark):
     assert sorted({(str(r["doc_id"]), r["fp"], r["component_id"]) for r in rows}) == want
     assert rows_of(S.near_duplicates(clashing(docs))) == rows_of(S.near_duplicates(docs))
     assert S.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_similar_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHORT", 4)  # long lists, so that leaders come into play
+    rng = random.Random(6)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 60, 120]))]
+        for _ in range(8):
+            text = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(500)}"
+            rows.append((len(rows), " ".join(text)))
+    rows += [(500, None), (501, " "), (None, rows[0][1]), (502, rows[0][1].upper())]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
+    apart = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                apart += (S.fingerprint((rows[i][1] or "").encode()) ^ S.fingerprint((rows[j][1] or "").encode())).bit_count() > 3
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min((d for (d, _), q in zip(rows, root, strict=True) if q == r and d is not None), default=None) for r in root}
+    got = {(r["doc_id"], r["component_id"]) for r in S.similar(documents(spark, rows)).collect()}
+    assert apart > 20 and got == {(d, least[r]) for (d, _), r in zip(rows, root, strict=True)}
