@@ -3,24 +3,28 @@
 A line is removed if an earlier line (by doc_id, then place) has a word set of
 Jaccard similarity ``THRESHOLD`` or more; lines without words always stay.
 
-1. Words fall into ``BUCKETS`` hash buckets whose counts rank them: a word's key is
-   its bucket's frequency class, then its hash, so sorted keys run from rare to
-   common.  Any one order of all words makes the prefix filter exact.
-2. Equal word sets become one row, that of their first line, with the keys of the
-   prefix: sets as similar as asked for share a key there.
-3. Rows that share a key meet, and a pair goes on if its lengths, the places of
-   the key in both, and the parity bits of both sets allow the overlap needed.
-   In lists of up to ``SHORT`` rows, all meet.  In longer lists,
-   rows are first held against the first row of their length in the list: what
-   matches is removed and needs no further partner.  Only rows still unmatched
-   meet the whole list.
+1. Words fall into ``BUCKETS`` hash buckets whose counts over all texts rank them: a
+   word's key is its bucket's frequency class, then its hash, so sorted keys run
+   from rare to common.  Any one order of all words makes the prefix filter exact.
+2. Equal word sets become one row, that of their first line, with a number and the
+   keys of the prefix: sets as similar as asked for share a key there.
+3. Rows that share a key meet, and a pair goes on if its lengths, the places of the
+   key in both, and the parity bits of both sets allow the overlap needed.  A similar
+   pair shares all but so many of its words that a number of prefix keys must be
+   common: pairs that met on fewer keys go.  In lists of over ``SHORT`` rows, rows are
+   first held against the first row of their length; what matches is removed and
+   needs no further partner.  Rows still unmatched meet those of the list whose
+   length lies in their own or a neighbouring band.
 4. Pairs are verified on the words of both lines.
 
-Edge cases: null and empty texts have no lines to remove (a null stays null);
-null ids come before all others; documents of one id are ordered by the hash of
-their text; identical rows (id and text) count once and all get the same result;
-ties cannot occur, as places differ; an empty table gives no rows.  Other columns
-of the input are ignored by ``find`` and kept by ``deduplicate``.
+Sets are told apart by 96 bits of hash; all similarities are taken on words.
+
+Edge cases: null and empty texts have no lines to remove (a null stays null); very
+long texts and lines are taken whole; null ids come before all others; documents of
+one id are ordered by the hash of their text; identical rows (id and text) count
+once and all get the same result; ties cannot occur, as places differ; an empty
+table gives no rows.  Other columns of the input are ignored by ``find`` and kept by
+``deduplicate``.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, discard, materialize, words
+from ._common import discard, materialize, words
 
 #: Jaccard similarity as a fraction.
 THRESHOLD = (4, 5)
@@ -39,68 +43,103 @@ BUCKETS = 1 << 16
 #: Bits by which documents without a line to verify are left out early.
 DOC_BITS = 1 << 20
 #: Rows in a list whose rows meet pairwise, at most.
-SHORT = 256
+SHORT = 512
 LEADER_ROUNDS = 2
-_HASH_BITS = 58
+#: Sets of more words than this have 128 parity bits instead of 64.
+WIDE = 64
+_HASH_BITS = 57
 
 
-def _split(text: Column) -> Column:
-    """Words of a text, and empty strings where it begins or ends with blanks."""
-    return F.split(F.coalesce(text, F.lit("")), BLANKS)
+def _spaced(text: Column) -> Column:
+    """The text with a space for every blank but the line feed; null is empty.  Splitting at one character is the fast path."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(r"[\t\x0B\f\r]"), F.regexp_replace(text, r"[\t\x0B\f\r]", " ")).otherwise(text)
 
 
 def _word_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def frequency_classes(docs: DataFrame, text_col: str) -> bytes:
-    """The frequency class of every bucket, a byte each: ``BUCKETS`` bytes, whatever the size of the corpus."""
-    each = docs.select(F.explode(_split(F.col(text_col))).alias("w")).where("w <> ''")
-    counts = each.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    classes = bytearray(BUCKETS)
-    for r in counts.select("b", F.least(F.lit(31), F.floor(F.log2(F.col("n") + 1))).cast("int").alias("k")).collect():
-        classes[r["b"]] = r["k"]
-    return bytes(classes)
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
 
+def frequency_classes(docs: DataFrame, text_col: str) -> str:
+    """The frequency class of every bucket as text, comma-separated: ``BUCKETS`` numbers, whatever the size of the corpus."""
+    each = docs.select(F.explode(F.split(F.replace(_spaced(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    counts = each.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
+    classes = materialize(counts.select("b", F.least(F.lit(62), F.floor(2 * F.log2(F.col("n") + 1))).cast("int").alias("k")), "classes")
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(classes, "b", "left").na.fill(0, ["k"])
+    part = F.sort_array(F.collect_list(F.struct("b", "k")))
+    parts = every.groupBy(F.shiftright("b", 9).alias("p")).agg(F.array_join(F.transform(part, lambda x: x["k"].cast("string")), ",").alias("ks"))
+    out = ",".join(r["ks"] for r in sorted(parts.collect(), key=lambda r: r["p"]))
+    discard(classes)
+    return out
 
-def first_lines(docs: DataFrame, classes: bytes, id_col: str, text_col: str) -> DataFrame:
-    """(s1, s2, pos, n, bits, prefix): the first line of every word set.
 
-    ``pos`` is (doc_id, text hash, line number); ``prefix`` holds the rarest keys.
+def first_lines(docs: DataFrame, classes: str, id_col: str, text_col: str) -> DataFrame:
+    """(sid, pos, n, lo, hi, prefix): the first line of every word set, numbered.
+
+    ``pos`` is (doc_id, text hash, line number); ``prefix`` holds the rarest keys;
+    ``lo`` and ``hi`` are parity bits (``hi`` is 0 in sets of up to ``WIDE`` words).
     """
     num, den = THRESHOLD
     # Folded by the optimizer to one constant array.
-    table = F.expr(f"cast(split('{','.join(map(str, classes))}', ',') as array<long>)")
-    lines = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.posexplode(_word_lines(F.col(text_col))).alias("ln", "line"))
+    shifted = ",".join(str(int(k) << _HASH_BITS) for k in classes.split(","))
+    table = F.expr(f"cast(split('{shifted}', ',') as array<long>)")
+    lines = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(_spaced(F.col(text_col)), "\n")).alias("ln", "line"))
 
     def key(w: Column) -> Column:
         h = F.xxhash64(w)
-        rank = F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.shiftleft(rank, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+        # An array without nulls is sorted as plain longs.
+        rank = F.coalesce(F.get(table, _bucket(h)), F.lit(0).cast("long"))
+        return rank.bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
 
-    keys = F.sort_array(F.array_distinct(F.transform(F.array_remove(_split(F.col("line")), ""), key)))
+    keys = F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), key)))
     keyed = lines.select("d", "t", "ln", keys.alias("s"))
-    bits = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def folded(bit) -> Column:
+        return F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", bit(x), x.bitwiseAND(F.lit(63)).cast("int"))))
+
     n = F.size("s")
+    whole = folded(lambda x: F.lit(1).cast("long"))
+    upper = F.when(n > WIDE, folded(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1).cast("long")))).otherwise(F.lit(0).cast("long"))
     length = (n - F.ceil(n * num / den) + 1).cast("int")
     rows = keyed.select(
         F.xxhash64("s").alias("s1"),
         F.hash("s", F.lit(1)).alias("s2"),
-        F.struct(F.struct("d", "t", "ln").alias("pos"), n.alias("n"), bits.alias("bits"), F.slice("s", F.lit(1), length).alias("prefix")).alias("x"),
+        F.struct(
+            F.struct("d", "t", "ln").alias("pos"), n.alias("n"), whole.alias("whole"), upper.alias("hi"), F.slice("s", F.lit(1), length).alias("prefix")
+        ).alias("x"),
     )
     # Lines without words go only here: a filter above would have all keys computed twice.
-    return rows.groupBy("s1", "s2").agg(F.min("x").alias("x")).select("s1", "s2", "x.pos", "x.n", "x.bits", "x.prefix").where("n > 0")
+    firsts = rows.groupBy("s1", "s2").agg(F.min("x").alias("x")).where("x.n > 0")
+    return firsts.select(F.monotonically_increasing_id().alias("sid"), "x.pos", "x.n", F.col("x.whole").bitwiseXOR(F.col("x.hi")).alias("lo"), "x.hi", "x.prefix")
 
 
 def _allowed(a: str, b: str) -> Column:
-    """Whether two rows that share a key can be similar, by length, place of the key and parity bits."""
+    """Whether two rows that share a key can be similar, by length, place of the key and parity bits.
+
+    All rows of a similar pair pass, not only that of its first common key.
+    """
     num, den = THRESHOLD
     na, nb, ia, ib = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}i"), F.col(f"{b}i")
     both = na + nb
     length = (den * na >= num * nb) & (den * nb >= num * na)
-    place = (num + den) * F.least(na - ia, nb - ib) >= num * both
-    apart = (num + den) * F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) <= (den - num) * both
-    return length & place & apart
+    lo, hi = F.col(f"{a}lo").bitwiseXOR(F.col(f"{b}lo")), F.col(f"{a}hi").bitwiseXOR(F.col(f"{b}hi"))
+    differ = F.when(F.least(na, nb) > WIDE, F.bit_count(lo) + F.bit_count(hi)).otherwise(F.bit_count(lo.bitwiseXOR(hi)))
+    place = (num + den) * (F.least(ia, ib) + F.least(na - ia, nb - ib)) >= num * both
+    return length & ((num + den) * differ <= (den - num) * both) & place
+
+
+def _needed(na: Column, nb: Column) -> Column:
+    """Prefix keys that a similar pair of these lengths has in common, at least.
+
+    The prefix that ends at the rarer key lies, as far as it is common, in the other
+    prefix; what follows it has one word less than the similarity asks of its set.
+    """
+    num, den = THRESHOLD
+    return F.ceil(num * (na + nb) / (num + den)) - F.greatest(F.ceil(num * na / den), F.ceil(num * nb / den)) + 1
 
 
 def _bit(d: Column, t: Column) -> Column:
@@ -120,76 +159,98 @@ def _maybe_in(bits: DataFrame, bit: Column) -> Column:
     return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.bitmap_bit_position(bit) % 8).cast("int"))) != 0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """Positions that come second in pairs (later, earlier) whose word sets are similar, as a table ``name``."""
+def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """(sid): sets that come second in a pair (a, b) of sets whose words are similar, as a table ``name``."""
     num, den = THRESHOLD
-    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("p")).distinct()
-    of_doc = materialize(wanted.groupBy("p.d", "p.t").agg(F.collect_set("p.ln").alias("lns")), "wanted")
+    at = firsts.select("sid", "pos")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(at, "sid")
+    of_doc = materialize(wanted.groupBy("pos.d", "pos.t").agg(F.collect_list(F.struct("pos.ln", "sid")).alias("at")), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("d0"), F.xxhash64(text_col).alias("t0"), F.col(text_col).alias("_text"))
     texts = texts.where(_maybe_in(of_doc.select(_bit(F.col("d"), F.col("t")).alias("b")), _bit(F.col("d0"), F.col("t0"))))
     found = of_doc.join(texts.withColumn("_lines", _word_lines(F.col("_text"))).drop("_text"), F.col("d").eqNullSafe(F.col("d0")) & (F.col("t") == F.col("t0")))
-    lines = found.select("d", "t", F.explode(F.transform("lns", lambda i: F.struct(i.alias("ln"), F.get("_lines", i).alias("line")))).alias("x"))
-    sets = lines.select(F.struct("d", "t", "x.ln").alias("p"), F.array_distinct(words(F.col("x.line"))).alias("w")).dropDuplicates(["p"])
+    lines = found.select("d", "t", F.explode(F.transform("at", lambda x: F.struct(x["sid"].alias("sid"), x["ln"].alias("ln"), F.get("_lines", x["ln"]).alias("line")))).alias("x"))
+    sets = lines.select("x.sid", F.struct("d", "t", "x.ln").alias("pos"), F.array_distinct(words(F.col("x.line"))).alias("w")).dropDuplicates(["sid"])
     sets = materialize(sets, "line_sets")
-    one = pairs.join(sets.select(F.col("p").alias("later"), F.col("w").alias("wa")), "later")
-    two = one.join(sets.select(F.col("p").alias("earlier"), F.col("w").alias("wb")), "earlier")
+    one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("pos").alias("pa"), F.col("w").alias("wa")), "a")
+    two = one.join(sets.select(F.col("sid").alias("b"), F.col("pos").alias("pb"), F.col("w").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     similar = two.where((num + den) * common >= num * (F.size("wa") + F.size("wb")))
-    found = materialize(similar.select("later").distinct(), name)
+    found = materialize(similar.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("sid")).distinct(), name)
     discard(sets, of_doc)
     return found
 
 
+_PARTS = ("sid", "n", "i", "lo", "hi")
+
+
 def postings(firsts: DataFrame) -> DataFrame:
-    """(k, i, s1, n, bits): a row for every prefix key of every set."""
-    return firsts.select(F.posexplode("prefix").alias("i", "k"), "s1", "n", "bits").select("k", "i", "s1", "n", "bits")
+    """(k, i, sid, n, lo, hi, high): a row for every prefix key of every set; keys that occur often are ``high``."""
+    rows = firsts.select(F.posexplode("prefix").alias("i", "key"), "sid", "n", "lo", "hi")
+    # A list is no longer than the count of its key's bucket.
+    high = F.shiftright("key", _HASH_BITS) >= int(2 * math.log2(SHORT))
+    return rows.select(F.hash("key").alias("k"), *_PARTS, high.alias("high"))
 
 
-def _side(p: DataFrame, s: str) -> DataFrame:
-    return p.select("k", *(F.col(c).alias(f"{s}{c}") for c in ("i", "s1", "n", "bits")))
+def _side(p: DataFrame, s: str, *also: str) -> DataFrame:
+    return p.select("k", *also, *(F.col(c).alias(f"{s}{c}") for c in _PARTS))
 
 
-def matched(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(later): positions of the first lines that a similar set precedes."""
-    every = postings(firsts)
-    # A list is no longer than the count of its key's bucket: only keys of high classes are counted.
-    high = every.where(F.shiftright("k", _HASH_BITS) >= int(math.log2(SHORT)))
-    long_lists = materialize(high.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > SHORT).select("k"), "long_lists")
-    at = firsts.select("s1", "pos")
-
-    def check(pairs: DataFrame, name: str) -> DataFrame:
-        """Positions that come second in a similar pair (as1, bs1)."""
-        one = pairs.join(at.select(F.col("s1").alias("as1"), F.col("pos").alias("p")), "as1")
-        two = one.join(at.select(F.col("s1").alias("bs1"), F.col("pos").alias("q")), "bs1").where("p <> q")
-        placed = materialize(two.select(F.greatest("p", "q").alias("later"), F.least("p", "q").alias("earlier")).distinct(), f"{name}_pairs")
-        found = verified(placed, docs, id_col, text_col, name)
-        discard(placed)
-        return found
-
-    hot = every.join(long_lists, "k", "left_semi").join(at, "s1")
-    hot = materialize(hot.select("k", "i", "s1", "n", "bits", "pos"), "hot")
-    probes, heads, gone, spent = hot, hot, [], [hot, long_lists]
+def _met(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) by number, the lengths, and the most that a common key's place leaves for the overlap."""
+    rest = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi"))
+    return rows.select(F.least("xsid", "ysid").alias("a"), F.greatest("xsid", "ysid").alias("b"), F.col("xn") + F.col("yn"), _needed(F.col("xn"), F.col("yn")), rest).toDF("a", "b", "both", "needed", "rest")
+
+
+def _band(n: Column) -> Column:
+    """Lengths that a similar pair can have lie in the same or in neighbouring bands."""
+    num, den = THRESHOLD
+    return F.floor(F.log(n.cast("double")) / math.log(den / num)).cast("int")
+
+
+def _in_long_lists(every: DataFrame, long_lists: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """(pairs met in long lists, tables of removed sets, tables to discard)."""
+    hot = every.join(long_lists, "k", "left_semi").join(firsts.select("sid", "pos"), "sid")
+    hot = materialize(hot.select("k", *_PARTS, "pos"), "hot")
+    probes, heads, gone, spent = hot, hot, [], [hot]
     for turn in range(LEADER_ROUNDS):
-        lead = heads.groupBy("k", "n").agg(F.min(F.struct("pos", "i", "bits", "s1")).alias("x"))
-        lead = lead.select("k", F.col("n").alias("bn"), F.col("x.pos").alias("bpos"), F.col("x.i").alias("bi"), F.col("x.bits").alias("bbits"), F.col("x.s1").alias("bs1"))
-        mine = _side(probes.drop("pos"), "a").join(lead, "k").where(F.col("an") == F.col("bn"))
-        near = mine.where((F.col("as1") != F.col("bs1")) & _allowed("a", "b")).select("as1", "bs1").distinct()
-        found = check(near, f"leaders{turn}")
-        gone.append(found)
-        probes = materialize(probes.join(found, probes.pos == found.later, "left_anti"), f"probes{turn}")
-        spent.append(probes)
-        led = lead.select(F.col("k").alias("lk"), F.col("bs1").alias("ls1"))
-        heads = probes.join(led, (probes.k == led.lk) & (probes.s1 == led.ls1), "left_anti")
-    mine = probes.select("k", F.col("pos").alias("apos"), *(F.col(c).alias(f"a{c}") for c in ("i", "s1", "n", "bits")))
-    theirs = hot.select("k", F.col("pos").alias("bpos"), *(F.col(c).alias(f"b{c}") for c in ("i", "s1", "n", "bits")))
-    rest = mine.join(theirs, "k").where((F.col("bpos") < F.col("apos")) & _allowed("a", "b")).select("as1", "bs1")
+        lead = heads.groupBy("k", "n").agg(F.min(F.struct("pos", "i", "lo", "hi", "sid")).alias("x"))
+        lead = lead.select("k", F.col("n").alias("yn"), *(F.col(f"x.{c}").alias(f"y{c}") for c in ("i", "lo", "hi", "sid")))
+        mine = _side(probes, "x").join(lead, "k").where((F.col("xn") == F.col("yn")) & (F.col("xsid") != F.col("ysid")) & _allowed("x", "y"))
+        near = materialize(_met(mine).select("a", "b").distinct(), "led")
+        gone.append(verified(near, firsts, docs, id_col, text_col, f"leaders{turn}"))
+        probes = materialize(probes.join(gone[-1], "sid", "left_anti"), f"probes{turn}")
+        spent += [near, probes]
+        led = lead.select(F.col("k").alias("lk"), F.col("ysid").alias("lsid"))
+        heads = probes.join(led, (probes.k == led.lk) & (probes.sid == led.lsid), "left_anti")
+    mine = _side(probes.withColumn("xpos", F.col("pos")), "x", "xpos").withColumn("band", F.explode(F.array(*(_band(F.col("xn")) + j for j in (-1, 0, 1)))))
+    theirs = _side(hot.withColumn("ypos", F.col("pos")), "y", "ypos").withColumn("band", _band(F.col("yn")))
+    rest = mine.join(theirs, ["k", "band"]).where((F.col("ypos") < F.col("xpos")) & _allowed("x", "y"))
+    return _met(rest), gone, spent
+
 
+def matched(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(sid): the sets that a similar set precedes."""
+    every = postings(firsts)
+    counts = every.where("high").groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > SHORT)
+    long_lists = materialize(counts.select("k"), "long_lists")
+    gone, spent, cold, hot_pairs = [], [long_lists], every, None
+    if not long_lists.isEmpty():
+        hot_pairs, gone, more = _in_long_lists(every, long_lists, firsts, docs, id_col, text_col)
+        spent += more
+        cold = every.join(long_lists, "k", "left_anti")
     # Both sides of the join read one exchange.
-    cold = every.join(long_lists, "k", "left_anti").repartition("k")
-    near = _side(cold, "a").join(_side(cold, "b"), "k").where((F.col("as1") < F.col("bs1")) & _allowed("a", "b")).select("as1", "bs1")
-    gone.append(check(near.union(rest).distinct(), "pairs"))
+    cold = cold.select("k", *_PARTS).repartition("k")
+    rows = _met(_side(cold, "x").join(_side(cold, "y"), "k").where((F.col("xsid") < F.col("ysid")) & _allowed("x", "y")))
+    if hot_pairs is not None:
+        # A pair's later set is either removed by now or has met all its partners, so counts below are whole where they matter.
+        rows = rows.unionByName(hot_pairs)
+    num, den = THRESHOLD
+    pairs = rows.groupBy("a", "b", "both", "needed").agg(F.count("*").alias("c"), F.max("rest").alias("rest"))
+    pairs = pairs.where((F.col("c") >= F.col("needed")) & ((num + den) * F.col("rest") >= num * F.col("both")))
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    gone.append(verified(pairs, firsts, docs, id_col, text_col, "similar"))
     later = materialize(reduce(DataFrame.union, gone).distinct(), "later")
-    discard(*spent, *gone)
+    discard(pairs, *spent, *gone)
     return later
 
 
@@ -200,7 +261,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     firsts = materialize(first_lines(docs, frequency_classes(docs, text_col), id_col, text_col), "firsts")
     later = matched(docs, firsts, id_col, text_col)
-    stay = firsts.select("pos").join(later, firsts.pos == later.later, "left_anti")
+    stay = firsts.select("sid", "pos").join(later, "sid", "left_anti")
     kept = materialize(stay.groupBy("pos.d", "pos.t").agg(F.collect_list("pos.ln").alias("kept")), "kept")
     discard(firsts, later)
     return kept
