@@ -46,6 +46,8 @@ SEED, SHINGLE, THRESHOLD = 42, 3, 3
 #: Shingle length and Jaccard similarity (as a fraction) of ``similar``.
 WIDE, SIMILARITY = 5, (4, 5)
 BUCKETS, SHORT = 1 << 18, 64
+#: Words whose hashes a Python worker keeps at once; an odd factor that mixes them.
+CACHE, _ODD = 400_000, np.uint64(0x9E3779B97F4A7C15)
 #: Hashes whose bits are counted at once; bounds memory for very long texts.
 _BLOCK = 1 << 16
 
@@ -162,24 +164,48 @@ def near_duplicates(
     return prints.join(of_print, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def shingle_hashes(text: bytes | None, shingle: int = WIDE) -> np.ndarray:
-    """Hashes of the distinct shingles of a UTF-8 text; a shorter text is one shingle, a blank one has none."""
-    words = (text or b"").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
-    if n <= shingle:
-        return np.array([digest(joined, SEED)], np.uint64)
-    end = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    first = np.concatenate(([0], end[: n - shingle] + 1))
-    spans = zip(first.tolist(), end[shingle - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(first)))
-
-
-def _keys(text: bytes | None, classes: np.ndarray) -> np.ndarray:
-    """Sorted keys of a text's shingles: the class of the bucket, then the hash, so rare ones come first."""
-    h = shingle_hashes(text)
+class Shingles:
+    """Hashes of word shingles, mixed from the words' hashes; one per Python worker, with a bounded memory of words."""
+
+    _open: Shingles | None = None
+
+    def __init__(self) -> None:
+        self.words: dict[bytes, int] = {}
+
+    @classmethod
+    def open(cls) -> Shingles:
+        cls._open = cls._open or cls()
+        return cls._open
+
+    def word_hashes(self, words: list[bytes]) -> np.ndarray:
+        known = self.words
+        try:
+            return np.array([known[w] for w in words], np.uint64)
+        except KeyError:
+            if len(known) > CACHE:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w, SEED)
+            return np.array([known[w] for w in words], np.uint64)
+
+    def of(self, text: bytes | None, shingle: int = WIDE) -> np.ndarray:
+        """Hashes of all shingles of a UTF-8 text, repeats included; a shorter text is one shingle, a blank one has none."""
+        words = (text or b"").lower().split()
+        if not words:
+            return np.zeros(0, np.uint64)
+        w = self.word_hashes(words)
+        m = max(1, len(w) - shingle + 1)
+        h = np.full(m, min(len(w), shingle), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(min(len(w), shingle)):
+                h = (h ^ w[j : j + m]) * _ODD
+                h ^= h >> np.uint64(29)
+        return h
+
+
+def _keys(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Sorted keys of shingle hashes: the class of the bucket, then the hash, so rare ones come first."""
     return np.unique((classes[(h & np.uint64(BUCKETS - 1)).astype(np.int64)] << np.uint64(58)) | (h >> np.uint64(6))).view(np.int64)
 
 
@@ -187,17 +213,24 @@ def shingle_classes(texts: DataFrame) -> np.ndarray:
     """The frequency class of every bucket of shingles: ``BUCKETS`` numbers, whatever the size of the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS, np.int64)
+        seen, shingles = np.zeros(BUCKETS, np.int64), Shingles.open()
         for b in batches:
+            held, n = [], 0
             for x in b.column(0):
-                seen += 0 if not len(h := shingle_hashes(x.as_py())) else np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                held.append(shingles.of(x.as_py()))
+                n += len(held[-1])
+                if n > _BLOCK * 16:
+                    seen += np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                    held, n = [], 0
+            if n:
+                seen += np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["b", "c"])
 
     got = texts.select("_t").mapInArrow(run, "b int, c long").groupBy("b").agg(F.sum("c").alias("c"))
+    found = got.select("b", F.least(F.lit(31), F.floor(F.log2(F.col("c") + 1))).cast("int").alias("k")).toArrow()
     out = np.zeros(BUCKETS, np.uint64)
-    for r in got.select("b", F.least(F.lit(31), F.floor(F.log2(F.col("c") + 1))).cast("int").alias("k")).toLocalIterator():
-        out[r["b"]] = r["k"]
+    out[found.column("b").to_numpy()] = found.column("k").to_numpy()
     return out
 
 
@@ -210,10 +243,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sent = spark.sparkContext.broadcast(shingle_classes(texts))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles.open()
         for b in batches:
             nodes, ns, prefix = [], [], []
             for x in b.column(2):
-                s = _keys(x.as_py(), sent.value)
+                s = _keys(shingles.of(x.as_py()), sent.value)
                 n = len(s)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 ns.append(n)
@@ -224,8 +258,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles.open()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_keys(x.as_py(), sent.value) for x in b.column(1)], pa.list_(pa.int64()))], ["node", "s"])
+            sets = [np.unique(shingles.of(x.as_py())).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
     own = materialize(texts.mapInArrow(prefixes, "doc_id long, t long, node long, n int, prefix array<long>"), "prefixes")
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), F.min(F.struct("n", "prefix")).alias("x"))
