@@ -8,7 +8,9 @@ worth on the pruning part, and joins the list if it is precise there.  All count
 are Spark aggregations over the whole labelled table; the driver sees only
 histograms of features x bins.  The list becomes one ordered ``CASE WHEN``.
 
-Edge cases: a null text has no words; null labels and labels of unknown documents
+Windows of words are told apart by 64 bits of hash.
+
+Edge cases: a null text has no words; very long texts are taken whole; null labels and labels of unknown documents
 teach nothing; repeated label rows count as often as they stand; without labels
 the list is empty and only the base rules reject; ties between conditions go to
 the first feature and the lowest threshold; an empty table gives no rows.  Other
@@ -67,15 +69,21 @@ def decision_list(rules: list[Rule]) -> Column:
     return out
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the shares in FEATURES."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.select("doc_id", "t", words(F.col("t")).alias("w"))
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the shares in FEATURES.
+
+    With ``whole``, the document itself as a struct ``row``.
+    """
+    own = ["row"] if whole else []
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *([row] if whole else []))
+    rows = rows.select("doc_id", "t", *own, words(F.col("t")).alias("w"))
     gone = lambda chars: F.length("t") - F.length(F.regexp_replace("t", chars, ""))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     window = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     rows = rows.select(
         "doc_id",
+        *own,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         gone(f"[{SYMBOLS}]").cast("long").alias("n_symbols"),
@@ -105,6 +113,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.select("*", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")).drop("at")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return rows.select(
+        *own,
         "doc_id",
         "n_words",
         "word_chars",
@@ -194,14 +203,15 @@ def learn(labelled: DataFrame, features: list[str] = FEATURES, bad: str = "bad")
     return rules
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[Rule]]:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> tuple[DataFrame, list[Rule]]:
     """(statistics with base_failed, rule and kept; the learned list).
 
     ``labels`` has doc_id and quality (0: bad).  ``rule`` is the number of the
-    learned rule that rejects, null if none.
+    learned rule that rejects, null if none.  With ``whole``, a struct ``row`` holds
+    the document, so that its verdict needs no join.
     """
-    stats = materialize(statistics(docs, id_col, text_col), "statistics")
+    stats = materialize(statistics(docs, id_col, text_col, whole), "statistics")
     told = labels.where("quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
-    rules = learn(stats.where(~base_failed()).join(told, "doc_id"))
+    rules = learn(stats.drop("row").where(~base_failed()).join(told, "doc_id"))
     judged = stats.select("*", base_failed().alias("base_failed"), F.when(~base_failed(), decision_list(rules)).alias("rule"))
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
