@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
+_recording = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +54,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._sluice_path = path
+    for tables in getattr(_recording, "open", ()):
+        tables.append(out)
     return out
 
 
@@ -57,8 +63,20 @@ def discard(*tables: DataFrame) -> None:
     """Remove tables of ``materialize`` that nothing reads any more."""
     for df in tables:
         spark, path = df.sparkSession, df._sluice_path
-        _delete(spark, path)
-        _written.remove((spark, path))
+        if (spark, path) in _written:
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables that ``materialize`` writes meanwhile in this thread."""
+    tables: list[DataFrame] = []
+    _recording.open = [*getattr(_recording, "open", ()), tables]
+    try:
+        yield tables
+    finally:
+        _recording.open = _recording.open[:-1]
 
 
 def _delete(spark: SparkSession, path: str) -> None:

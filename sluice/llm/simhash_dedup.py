@@ -141,7 +141,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         up = large.select(F.col("b").alias("x"), F.col("a").alias("y"))  # y < x
         low = up.groupBy("x").agg(F.min("y").alias("m"))
         small = up.join(low, "x").select(F.col("m").alias("a"), F.explode(F.array("x", "y")).alias("b"))
-        now = materialize(small.where("a <> b").distinct(), "small")
+        small = materialize(small.where("a <> b").distinct(), "small")
+        discard(now, large)
+        now = small
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == before:
             break
@@ -270,17 +272,24 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counts = every.groupBy("k").agg(F.count("*").alias("c"))
     lists = materialize(every.join(counts.where("c > 1"), "k"), "lists")
 
+    def needed(an: F.Column, bn: F.Column) -> F.Column:
+        """Prefix keys that a similar pair of these sizes has in common, at least (see ``line_dedup``)."""
+        return F.ceil(num * (an + bn) / (num + den)) - F.greatest(F.ceil(num * an / den), F.ceil(num * bn / den)) + 1
+
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.select("k", *(F.col(c).alias(f"{s}{c}") for c in ("node", "n", "i")))
 
     def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-        length = (den * F.col("an") >= num * F.col("bn")) & (den * F.col("bn") >= num * F.col("an"))
-        place = (num + den) * F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) >= num * (F.col("an") + F.col("bn"))
+        """(a, b, needed): a row for each key that two nodes share, if size and place allow them to be similar."""
+        an, bn, ai, bi = (F.col(c) for c in ("an", "bn", "ai", "bi"))
+        length = (den * an >= num * bn) & (den * bn >= num * an)
+        place = (num + den) * (F.least(ai, bi) + F.least(an - ai, bn - bi)) >= num * (an + bn)
         met = side(a, "a").join(side(b, "b"), "k").where((F.col("anode") != F.col("bnode")) & length & place)
-        return met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"))
+        return met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"), needed(an, bn).alias("needed"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(pairs.distinct(), f"{name}_pairs")
+        """Pairs (a, b) that are similar by their whole sets."""
+        pairs = materialize(pairs, f"{name}_pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "t"), "node")
         found = wanted.join(texts.select("t", "_t"), "t").dropDuplicates(["node"]).select("node", "_t")
         sets = materialize(found.mapInArrow(whole, "node long, s array<long>"), "sets")
@@ -292,12 +301,19 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     hot, cold = lists.where(F.col("c") > SHORT), lists.where(F.col("c") <= SHORT)
     lead = hot.groupBy("k").agg(F.min(F.struct("node", "n", "i")).alias("x")).select("k", "x.node", "x.n", "x.i")
-    led = verified(candidates(hot, lead), "led")
+    # Pairs with a leader have their common prefix keys counted on the prefixes.
+    near = materialize(candidates(hot, lead).distinct(), "near")
+    prefix_of = lambda c: nodes.select(F.col("node").alias(c), F.col("prefix").alias(f"prefix_{c}"))
+    near_enough = near.join(prefix_of("a"), "a").join(prefix_of("b"), "b").where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.col("needed"))
+    led = verified(near_enough.select("a", "b"), "led")
     of_lead = hot.join(lead.select("k", F.col("node").alias("l")), "k").select("k", "node", "l", F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
-    bound = of_lead.join(led, ["a", "b"], "left_semi").select("k", "node")
+    bound = of_lead.join(led, ["a", "b"], "left_semi").select("k", "node").union(lead.select("k", "node"))
     free = hot.join(bound, ["k", "node"], "left_anti")
-    edges = led.union(verified(candidates(cold, cold).union(candidates(free, hot)), "similar"))
+    # A pair that meets on too few keys is not similar, or both are bound to the leader of a list and so connected.
+    met = candidates(cold, cold).union(candidates(free, hot)).groupBy("a", "b", "needed").agg(F.count("*").alias("c"))
+    edges = led.union(verified(met.where(F.col("c") >= F.col("needed")).select("a", "b"), "similar"))
     roots = components(edges.distinct())
+    discard(lists, near)
     placed = nodes.select("node", "least").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     placed = placed.select("node", "least", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
