@@ -200,7 +200,7 @@ def combine(node: N.Node, left: DataFrame, right: DataFrame) -> DataFrame:
 def rows(node: N.Node, catalog: Catalog) -> DataFrame:
     """The node's rows as a bag; it has repetitions only where ``key_of`` is None."""
     if isinstance(node, N.From):
-        return R.project(catalog.frame(node.table), node.names)
+        return R.project(catalog.frame(node.table), node)
     if isinstance(node, N.Rel):
         return R.rel(catalog.spark, node)
     if type(node) in R.ROW_WISE:

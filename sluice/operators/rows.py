@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.expressions import column, lower, scope_of, truthy
+from ..functions.expressions import Scope, Typed, column, lower, scope_of, truthy
 from ..plans import nodes as N
 from ..plans.parser import thaw
 
-#: Columns of the engine, not of documents: a row's weight, and the document that a subquery runs over.
-WEIGHT, PARENT = "_w", "_parent"
-HIDDEN = (WEIGHT, PARENT)
+#: A column of the engine, not of documents: a row's weight.
+WEIGHT = "_w"
+HIDDEN = (WEIGHT,)
 
 
 def visible(df: DataFrame) -> list[str]:
@@ -100,10 +102,13 @@ def rel(spark: SparkSession, node: N.Rel) -> DataFrame:
     return frame_of(spark, [{k: thaw(v) for k, v in r} for r in node.rows])
 
 
-def project(df: DataFrame, names: tuple[str, ...] | None) -> DataFrame:
-    """The source's projection: listed fields and the id; a field no document has is null."""
+def project(df: DataFrame, node: N.From) -> DataFrame:
+    """The source's projection: listed fields and the id, or all and the table's name; a field no document has is null."""
+    names = node.names
+    if names is None or "_table" in names:
+        df = df.withColumn("_table", F.lit(node.table))
     if names is None:
-        return df
+        return df.select(*(column(c) for c in visible(df)), *hidden(df))
     have = set(df.columns)
     names = tuple(dict.fromkeys((*names, *(["_id"] if "_id" in have else []))))
     picked = [column(n) if n in have else F.lit(None).alias(n) for n in names]
@@ -143,21 +148,43 @@ def unnest(df: DataFrame, node: N.Unnest) -> DataFrame:
 ROW_WISE = {N.Where: where, N.With: with_, N.Without: without, N.Return: return_, N.Unnest: unnest}
 
 
-def local_rows(df: DataFrame, node: N.Node) -> DataFrame:
-    """A subquery over each document's own fields: the rows it yields, with the document in ``PARENT``."""
+def _local_ops(node: N.Node) -> list[N.Node]:
+    """The operators of a subquery over a document's own fields, first one first."""
     if isinstance(node, N.Local):
-        return df
+        return []
     if type(node) not in ROW_WISE:
         raise ValueError(f"{type(node).__name__} can't run over a document's own fields; give keys and a table")
-    return ROW_WISE[type(node)](local_rows(df, node.input), node)
+    return [*_local_ops(node.input), node]
+
+
+def _yields(ops: list[N.Node], scope: Scope) -> Column:
+    """Whether the operators yield a row for a document with these fields: no join, no second look at the table."""
+    if not ops:
+        return F.lit(True)
+    op, rest = ops[0], ops[1:]
+    if isinstance(op, N.Where):
+        return reduce(lambda a, p: a & truthy(lower(p, scope)), op.predicates, F.lit(True)) & _yields(rest, scope)
+    if isinstance(op, N.With):
+        for name, e in op.fields:
+            scope = scope | {name: lower(e, scope)}
+        return _yields(rest, scope)
+    if isinstance(op, N.Without):
+        return _yields(rest, {k: v for k, v in scope.items() if k not in op.names})
+    if isinstance(op, N.Return):
+        return _yields(rest, {k: v for k, v in scope.items() if k in op.names})
+    array = lower(op.array, scope)
+    none = Typed(F.lit(None))
+    if not isinstance(array.type, T.ArrayType):  # nothing to expand: the row passes through
+        return _yields(rest, scope if op.name in scope else scope | {op.name: none})
+    kind = array.type.elementType
+    some = F.exists(array.column, lambda x: _yields(rest, scope | {op.name: Typed(x, kind)}))
+    without = _yields(rest, scope | {op.name: Typed(F.lit(None).cast(kind), kind)})
+    return F.when(F.size(array.column) > 0, some).otherwise(without)
 
 
 def exists_local(df: DataFrame, node: N.Exists) -> DataFrame:
-    own = F.struct(*(column(c) for c in visible(df)))
-    found = local_rows(df.select(*(column(c) for c in visible(df)), own.alias(PARENT)), node.right)
-    found = found.select(column(PARENT).alias("_found")).distinct()
-    flagged = df.withColumn("_own", own).join(found, F.col("_own").eqNullSafe(F.col("_found")), "left")
-    return flagged.withColumn(node.name, F.col("_found").isNotNull()).drop("_own", "_found")
+    scope = {k: v for k, v in scope_of(df.schema).items() if k not in HIDDEN}
+    return df.withColumn(node.name, F.coalesce(_yields(_local_ops(node.right), scope), F.lit(False)))
 
 
 def same(a: Column, a_type: T.DataType | None, b: Column, b_type: T.DataType | None) -> Column:

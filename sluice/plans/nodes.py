@@ -19,6 +19,10 @@ class Node:
         """All tables below, those of right sides and subqueries included."""
         return frozenset().union(*(c.tables() for c in self.children()))
 
+    def outline(self) -> tuple:
+        """The node's operator and those below it: (name, outlines of its inputs)."""
+        return type(self).__name__, tuple(c.outline() for c in self.children())
+
 
 @dataclass(frozen=True)
 class From(Node):

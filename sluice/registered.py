@@ -44,7 +44,7 @@ TEXTS: dict[str, tuple[str, str]] = {
     ),
     "from_star": (
         "(from :nation [*])",
-        "SELECT *, n_nationkey AS _id FROM nation",
+        "SELECT *, n_nationkey AS _id, 'nation' AS _table FROM nation",
     ),
     "where_compare": (
         "(-> (from :orders [o_totalprice]) (where (>= o_totalprice 200000) (< o_totalprice 250000.5)))",
@@ -106,7 +106,7 @@ TEXTS: dict[str, tuple[str, str]] = {
     ),
     "without": (
         "(-> (from :nation [*]) (without n_name :n_regionkey missing))",
-        "SELECT n_nationkey, n_nationkey AS _id FROM nation",
+        "SELECT n_nationkey, n_nationkey AS _id, 'nation' AS _table FROM nation",
     ),
     "return_distinct": (
         "(-> (from :customer [c_mktsegment c_nationkey]) (return c_mktsegment c_nationkey nothing))",
@@ -277,6 +277,14 @@ INCREMENTAL: dict[str, tuple[str, str]] = {
         "(-> (from :customer [c_name]) (exists :big (-> (from :orders [o_custkey o_totalprice]) (where (> o_totalprice 400000))) {:xt/id :o_custkey}))",
         "SELECT c_custkey AS _id, c_name, EXISTS (SELECT 1 FROM ord WHERE o_custkey = c_custkey AND o_totalprice > 400000) AS big FROM cust",
     ),
+    "inc_unify": (
+        "(unify (from :orders [o_custkey o_orderstatus]) (-> (from :customer [c_mktsegment]) (with {:o_custkey xt/id})) {:o_custkey :o_custkey})",
+        "SELECT DISTINCT c_custkey AS _id, o_custkey, o_orderstatus, c_mktsegment FROM ord JOIN cust ON o_custkey = c_custkey",
+    ),
+    "inc_global": (
+        "(-> (from :orders [o_totalprice]) (aggregate {:n (row-count) :high (max o_totalprice)}))",
+        "SELECT count(*) AS n, max(o_totalprice) AS high FROM ord",
+    ),
     "inc_limit": (
         "(-> (from :orders [o_totalprice]) (where (< o_totalprice 200000)) (offset 5) (limit 20))",
         "SELECT o_orderkey AS _id, o_totalprice FROM ord WHERE o_totalprice < 200000 ORDER BY 1 LIMIT 20 OFFSET 5",

@@ -64,7 +64,7 @@ class Changes:
         if not self._touched(node):
             return None
         if isinstance(node, N.From):
-            return consolidate(R.project(self.tables[node.table], node.names))
+            return consolidate(R.project(self.tables[node.table], node))
         if type(node) in R.ROW_WISE:
             return R.ROW_WISE[type(node)](self._of(node.input), node)
         if isinstance(node, N.Exists) and not node.keys:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -18,6 +18,15 @@ def weighted(df: DataFrame, w: int) -> DataFrame:
     return df.withColumn(WEIGHT, F.lit(w).cast("long"))
 
 
+def tagged(df: DataFrame, name: str, value: Any) -> DataFrame:
+    """The rows with a constant field more, such as the source that they come from."""
+    return df.withColumn(name, F.lit(value))
+
+
+def untagged(df: DataFrame, name: str) -> DataFrame:
+    return df.drop(name)
+
+
 def consolidate(df: DataFrame) -> DataFrame:
     """Equal rows as one, their weights summed; rows of weight 0 go."""
     names = visible(df)
@@ -82,23 +91,36 @@ class Modified:
 
 @dataclass(frozen=True)
 class ChangeSet:
-    """What a transaction did to a result; ``modified`` rows are in ``added`` and ``removed`` as well."""
+    """What a transaction did to a result; true if it did anything.
+
+    ``frame`` is the change as weighted rows, wherever they lie.  Only asking for
+    ``added``, ``removed`` or ``modified`` brings them to the driver; ``modified``
+    rows are in the other two as well.  The files behind it are kept until two more
+    transactions have ended.
+    """
+
+    frame: DataFrame | None = None
 
-    added: list[dict[str, Any]] = field(default_factory=list)
-    removed: list[dict[str, Any]] = field(default_factory=list)
+    @cached_property
+    def _rows(self) -> list[Row]:
+        return [] if self.frame is None else self.frame.collect()
+
+    @property
+    def added(self) -> list[dict[str, Any]]:
+        return [document(r) for r in self._rows if r[WEIGHT] > 0]
+
+    @property
+    def removed(self) -> list[dict[str, Any]]:
+        return [document(r) for r in self._rows if r[WEIGHT] < 0]
 
     @property
     def modified(self) -> list[Modified]:
         """Pairs of an old and a new row of one id, where every row has an id."""
-        if not all("_id" in r for r in (*self.added, *self.removed)):
+        added, removed = self.added, self.removed
+        if not all("_id" in r for r in (*added, *removed)):
             return []
-        old = {repr(r["_id"]): r for r in self.removed}
-        return [Modified(r["_id"], old[repr(r["_id"])], r) for r in self.added if repr(r["_id"]) in old]
+        old = {repr(r["_id"]): r for r in removed}
+        return [Modified(r["_id"], old[repr(r["_id"])], r) for r in added if repr(r["_id"]) in old]
 
     def __bool__(self) -> bool:
-        return bool(self.added or self.removed)
-
-
-def change_set(delta: DataFrame) -> ChangeSet:
-    rows = delta.collect()
-    return ChangeSet([document(r) for r in rows if r[WEIGHT] > 0], [document(r) for r in rows if r[WEIGHT] < 0])
+        return self.frame is not None

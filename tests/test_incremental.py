@@ -152,4 +152,93 @@ def test_stream_feeds_the_engine(spark, tmp_path):
     assert rows(engine.query_results("q")) == [repr([("group_key", "b"), ("n", 1)])]
     # A replayed batch is skipped.
     replay = spark.createDataFrame([(9, "put", 1, "z")], schema)
-    assert engine.apply_changes("t", replay, engine.last_batch).affected_query_count == 0
+    (last,) = engine.batches.values()
+    assert engine.apply_changes("t", replay, last, source=str(tmp_path / "cp")).affected_query_count == 0
+
+
+def test_two_feeds_and_a_restart(spark, tmp_path):
+    from sluice.streaming.stream import follow
+
+    schema, path = "_id long, _op string, _seq long, v string", f"file://{tmp_path}/e"
+    text = "(-> (from :a [v]) (join (-> (from :b [v]) (with {:w v}) (return xt/id w)) {:xt/id :xt/id}))"
+
+    def run(engine):
+        for table in ("a", "b"):
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / table))
+            follow(engine, table, stream, str(tmp_path / f"cp_{table}")).awaitTermination()
+
+    for table in ("a", "b"):
+        spark.createDataFrame([(1, "put", 1, table), (2, "put", 1, table)], schema).write.parquet(str(tmp_path / table))
+    engine = Engine(spark, path)
+    engine.register_query("q", text)
+    run(engine)
+    assert set(engine.tables) == {"a", "b"} and engine.query_results("q").count() == 2
+    spark.createDataFrame([(1, "delete", 2, None)], schema).write.mode("append").parquet(str(tmp_path / "b"))
+    again = Engine(spark, path)
+    again.register_query("q", text)
+    run(again)
+    assert rows(again.query_results("q")) == [repr([("_id", 2), ("v", "a"), ("w", "b")])]
+
+
+def test_late_query_retracts_only_what_it_holds(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/e")
+    put = lambda x: engine.execute_tx([("put-docs", "t", {"_id": 1, "x": x})])
+    put(1)
+    engine.register_query("late", "(from :t [x])")
+    for x in (2, 1):
+        put(x)
+        assert rows(engine.query_results("late")) == [repr([("_id", 1), ("x", x)])]
+    engine.execute_tx([("delete-docs", "t", 1)])
+    assert engine.query_results("late").count() == 0
+    assert engine.query_state("late")["partial"] and engine.query_state("late")["nodes"] == ("From", ())
+    put(5)
+    engine.reset_query("late")
+    assert engine.query_results("late").count() == 0
+
+
+def test_changes_reach_the_driver_only_when_asked_for(spark, tmp_path, monkeypatch):
+    from sluice.streaming import zset
+
+    engine = Engine(spark, f"file://{tmp_path}/e")
+    engine.register_query("q", "(from :t [x])")
+    reads = []
+    monkeypatch.setattr(zset, "document", lambda r: reads.append(r) or dict(r.asDict()))
+    done = engine.execute_tx([("put-docs", "t", {"_id": 1, "x": 1})])
+    assert done.changes["q"] and not reads
+    assert len(done.changes["q"].added) == 1 and len(reads) == 1
+
+
+def test_old_files_go(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/e")
+    engine.register_query("q", "(-> (from :t [x]) (aggregate {:n (sum x)}))")
+    sizes = []
+    for x in range(8):
+        engine.execute_tx([("put-docs", "t", {"_id": 1, "x": x})])
+        sizes.append(sum(1 for p in (tmp_path / "e").glob("*/*") if p.parent.name in ("tables", "overlays", "changes")))
+    assert sizes[-1] == sizes[-2] == sizes[-3]
+    assert len(list((tmp_path / "e").glob("manifest-*.json"))) == 2
+
+
+def test_table_index():
+    from sluice.streaming.index import TableIndex
+
+    index = TableIndex()
+    index.add("a", ["t", "u"])
+    index.add("b", ["u"])
+    assert index.find(["t"]) == {"a"} and index.find(["u", "x"]) == {"a", "b"} and index.find([]) == set()
+    assert index.stats() == {"query_count": 2, "table_count": 2}
+    index.add("a", ["v"])
+    assert index.find(["t"]) == set() and index.find(["v"]) == {"a"}
+    assert index.remove("a") and not index.remove("a") and index.stats() == {"query_count": 1, "table_count": 1}
+
+
+def test_local_exists_has_no_join(spark):
+    from sluice.operators.batch import rows as rows_of
+    from sluice.sources.catalog import Catalog
+
+    df = spark.createDataFrame([(1, ["x"]), (2, []), (3, None), (4, ["y"])], "_id long, tags array<string>")
+    catalog = Catalog(spark).add("users", lambda: df, "_id")
+    flagged = rows_of(parse(QUERIES["exists_local"]), catalog)
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {(r["_id"], r["x"]) for r in flagged.collect()} == {(1, True), (2, False), (3, False), (4, False)}
