@@ -24,11 +24,13 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,32 +41,53 @@ from pyspark.sql import functions as F
 from ._common import file_of, materialize, ship
 
 TOKENIZER, END_ID, MAX_LEN = "word_bpe_49k.json", 1, 4096
-#: Words and letter runs whose ids a Python worker keeps at once.
+#: Words and letter runs whose ids a Python worker keeps at once (words: two generations).
 CACHE = 400_000
+#: How a tokenizer file must normalise and split for its words to be independent of each other.
+_NORMALIZERS, _SPLITTERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class WordIds:
     """Token ids by a word-level BPE of the ``tokenizers`` library, with a memory of words.
 
     The tokenizer drops white space and no token spans it, so the ids of a text
-    are those of its blank-separated words in order.  Words of ASCII characters
-    are split as the tokenizer's own pattern does and each run goes to its BPE
-    model; all other words go through the whole tokenizer.
+    are those of its blank-separated words in order.  Words of ASCII and Latin
+    letters and common punctuation, which normalise character by character, are
+    split by the file's own pattern and each run goes to its BPE model; all other
+    words go through the whole tokenizer.  Files that normalise or split in another
+    way are refused.
     """
 
     _open: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
+        import regex
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(path)
         self.model = self.tok.model
+        made = json.loads(Path(path).read_text())
+        steps = [(made.get("normalizer") or {}).get("normalizers", []), (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        split, level = (steps[1] + [{}, {}])[:2]
+        if [[x["type"] for x in part] for part in steps] != [_NORMALIZERS, _SPLITTERS] or not split.get("invert") or level.get("add_prefix_space"):
+            raise ValueError(f"{path} normalises or splits words in a way that isn't known here")
         special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
         self.special = re.compile("|".join(map(re.escape, sorted(special)))) if special else None
-        #: The tokenizer's split pattern, for lower-case ASCII.
-        self.runs = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
-        self.plain = re.compile(r"[\x21-\x7e]+").fullmatch
+        pattern = split["pattern"]["Regex"]
+        self.runs = regex.compile(pattern).findall
+        #: The same pattern for lower-case ASCII, where the faster module can stand in.
+        self.ascii_runs = re.compile(pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+        self.plain = re.compile("[\x21-\x7e\u00a1-\u012f\u0131-\u024f\u2010-\u2027\u20ac]+").fullmatch
+        self.alphabet = _byte_alphabet()
         self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.run_ids: dict[str, bytes] = {}
 
     @classmethod
@@ -77,12 +100,13 @@ class WordIds:
         text = raw.decode("utf-8", "replace")
         if self.plain(text) and not (self.special and self.special.search(text)):
             found, out = self.run_ids, []
-            for run in self.runs(text.lower()):
+            for run in (self.ascii_runs if text.isascii() else self.runs)(text.lower()):
                 ids = found.get(run)
                 if ids is None:
                     if len(found) >= CACHE:
                         found.clear()
-                    ids = found[run] = self.pack([t.id for t in self.model.tokenize(run)])
+                    spelt = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
+                    ids = found[run] = self.pack([t.id for t in self.model.tokenize(spelt)])
                 out.append(ids)
             return b"".join(out)
         return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
@@ -94,15 +118,19 @@ class WordIds:
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a UTF-8 text."""
         words, known = text.split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
+        parts = list(map(known.get, words))
+        if None in parts:
             if len(known) > CACHE:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join([known[w] for w in words])
+                self.old, self.words = known, {}
+                known = self.words
+            old = self.old
+            for i, ids in enumerate(parts):
+                if ids is None:
+                    w = words[i]
+                    if (ids := known.get(w)) is None:
+                        ids = known[w] = old.get(w) or self.word(w)
+                    parts[i] = ids
+        return b"".join(parts)
 
 
 def pieces(

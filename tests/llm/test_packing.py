@@ -2,7 +2,9 @@ import random
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import pytest
 import tokenizers
 
 from sluice.llm import packing as P
@@ -47,12 +49,17 @@ def test_query(spark, sf):
 def test_words_are_the_library_s():
     words = P.WordIds(file_of(P.TOKENIZER))
     rng = random.Random(5)
-    bits = ["it's", "we'll", "a", "B", "12", "<|endoftext|>", "<|startoftext|>", " ", "\x85", "\x1c", "\n", "ﬁ", "é", "é", "İ", "Σς", "!!", '"', "日本", "🙂", "\x00", "\x7f", "'s", "’", "_", "#"]
+    bits = ["it's", "we'll", "a", "B", "12", "<|endoftext|>", "<|startoftext|>", " ", "\x85", "\x1c", "\n", "ﬁ", "é", "é", "İ", "Σς", "!!", '"', "日本", "🙂", "\x00", "\x7f", "'s", "’", "_", "#", "ß", "Ñ", "œuvre", "Ǆ", "ŉ", "ª", "²", "½", "×", "\xa0", "\xad", "“", "…", "€", "Ÿ", "ﬀ", "e\u0301", "\u2028"]
     for _ in range(1500):
         text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
         assert words.ids(text.encode()) == words.pack(words.tok.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="isn't known"):
+        P.WordIds(next(p for p in map(str, Path(file_of(P.TOKENIZER)).parent.glob("*.json")) if p != file_of(P.TOKENIZER)))
+
+
 def test_plans_are_whole_and_tight():
     rng = random.Random(6)
     for _ in range(150):
