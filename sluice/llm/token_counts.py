@@ -12,8 +12,10 @@ tokens of a prefix are the tokens of a shorter prefix plus one last token that
 is compatible with the token before it.  A truncation or budget question is one
 binary search plus one such segment.
 
-Edge cases: null and empty texts have no bytes and no tokens; repeated rows give
-repeated result rows; other columns are ignored, whatever their names.
+Edge cases: null and empty texts have no bytes and no tokens; very long texts have
+their whole table in one task's memory, two numbers a segment; segments that are
+long themselves are not remembered; repeated rows give repeated result rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -171,10 +173,32 @@ class PrefixCounts:
         return max(0, int(self.ends[k]) + most - 1)
 
 
+def prefix_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
+    """Per document: doc_id, ends, tokens: the table that answers any later prefix or budget question.
+
+    ``tokens[k]`` is the exact token count of the first ``ends[k]`` code points, at the
+    end of every segment; both begin with 0.
+    """
+    ship(docs.sparkSession)
+    path = model or file_of(MODEL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = SegmentCounter.open(path)
+        kind = pa.list_(pa.int64())
+        for b in batches:
+            tables = [PrefixCounts(counter, (t.as_py() or b"").decode("utf-8", "replace")) for t in b.column(1)]
+            # The library's own blank before the text is no prefix of it.
+            ends, tokens = ([np.maximum(t.ends - 1, 0) for t in tables], [np.where(t.ends > 1, t.tokens, 0) for t in tables])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ends, kind), pa.array(tokens, kind)], ["doc_id", "ends", "tokens"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("_t"))
+    return rows.mapInArrow(run, "doc_id long, ends array<long>, tokens array<long>")
+
+
 def token_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, model: str | None = None
 ) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_tokens, over_limit, fit_chars.
+    """Per document: doc_id, n_bytes, n_tokens (the last cell of its prefix table), over_limit, fit_chars.
 
     ``fit_chars``: code points of the longest prefix of at most ``limit`` tokens.
     """
@@ -187,11 +211,10 @@ def token_counts(
             n_bytes, n_tokens, fit = [], [], []
             for value in b.column(1):
                 raw = value.as_py() or b""
-                text = raw.decode("utf-8", "replace")
-                total = counter.total(text)
+                table = PrefixCounts(counter, raw.decode("utf-8", "replace"))
                 n_bytes.append(len(raw))
-                n_tokens.append(total)
-                fit.append(len(text) if total <= limit else PrefixCounts(counter, text).fit(limit))
+                n_tokens.append(table.total)
+                fit.append(table.fit(limit))
             over = [n > limit for n in n_tokens]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(over, pa.bool_()), pa.array(fit, pa.int64())],

@@ -35,6 +35,15 @@ def test_every_prefix_and_budget(counter, texts):
             assert p.fit(budget) == max(i for i, n in enumerate(want) if n <= budget)
 
 
+def test_stored_tables(counter, texts, spark):
+    some = texts[:60]
+    rows = T.prefix_tables(documents(spark, [*enumerate(some), (99, None)])).collect()
+    assert len(rows) == len(some) + 1
+    for r in rows:
+        t = some[r["doc_id"]] if r["doc_id"] < 99 else ""
+        assert r["tokens"] == [len(counter.sp.encode(t[:e])) for e in r["ends"]] and r["ends"][-1] == len(t)
+
+
 def test_small_cache(texts, monkeypatch):
     monkeypatch.setattr(T, "CACHE", 5)
     small = T.SegmentCounter(file_of(T.MODEL))
