@@ -18,8 +18,10 @@ spans of assistant texts) from the formatted string alone.
 
 Edge cases: a null text is empty; a null role is its own role and reads back as
 the empty role; null scores count as 0; messages whose parent is missing are
-roots; a cycle of replies has no root and gives no path; branches of equal score
-rank by leaf; repeated rows of a conversation are turns of their own.  Other
+roots; a cycle of replies has no root: neither its messages nor those that hang on
+it are on any path; branches of equal score rank by leaf; repeated rows of a
+conversation are turns of their own.  Texts are taken whole.  A chosen path becomes
+one string, so a conversation, however long, is formatted by one task.  Other
 columns are ignored, whatever their names.
 """
 
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, ship
+from ._common import discard, materialize, ship
 
 BEGIN, END = "<s>", "</s>"
 #: Opening and closing marks of the named roles.
@@ -86,16 +88,21 @@ def parse(formatted: str) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]
     return turns, mask
 
 
-def jump_tables(messages: DataFrame, max_depth: int = 1 << 20) -> list[DataFrame]:
-    """Tables (id, up) of each message's 1st, 2nd, 4th ... ancestor, as long as there are any."""
+def jump_tables(messages: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables (id, up) of each message's 1st, 2nd, 4th ... ancestor, as long as there are any, and a table of ids without a root.
+
+    A path has no more steps than there are replies: whoever has an ancestor further
+    up than that is on a cycle or hangs on one.  The second table is None without cycles.
+    """
     tables = [materialize(messages.where("up is not null").select("id", "up"), "jump")]
+    most = tables[0].count()
     while not tables[-1].isEmpty():
-        if 1 << len(tables) > max_depth:
-            raise ValueError(f"a reply path is longer than {max_depth} or has a cycle")
         here = tables[-1]
+        if 1 << (len(tables) - 1) > most:
+            return tables[:-1], here.select("id")
         above = here.select(F.col("id").alias("up"), F.col("up").alias("far"))
         tables.append(materialize(here.join(above, "up").select("id", F.col("far").alias("up")), "jump"))
-    return tables[:-1]
+    return tables[:-1], None
 
 
 def paths(messages: DataFrame) -> DataFrame:
@@ -106,13 +113,19 @@ def paths(messages: DataFrame) -> DataFrame:
     known = messages.select(F.col("id").alias("up"))
     linked = messages.select("id", "up").join(known, "up", "left_semi").select("id", "up")
     nodes = messages.select("id").join(linked, "id", "left")
-    tables = jump_tables(nodes)
+    tables, rootless = jump_tables(nodes)
     parents = linked.select(F.col("up").alias("id")).distinct()
-    found = nodes.join(parents, "id", "left_anti").select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up_by"))
+    leaves = nodes.select("id").join(parents, "id", "left_anti")
+    if rootless is not None:
+        leaves = leaves.join(rootless, "id", "left_anti")
+    found = leaves.select(F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("up_by"))
+    last = None
     for k in reversed(range(len(tables))):
         step = tables[k].select("id", F.col("up").alias("to"))
         further = found.join(step, "id").select("leaf", F.col("to").alias("id"), (F.col("up_by") + (1 << k)).alias("up_by"))
         found = materialize(found.unionByName(further), "paths")
+        discard(*([last] if last is not None else []), tables[k])
+        last = found
     return found
 
 

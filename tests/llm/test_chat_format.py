@@ -47,7 +47,8 @@ def test_query(spark, sf):
 def test_trees(spark):
     # 1 -> 2 -> 4, 1 -> 3 -> 5 -> 6 (best), and a tree of one message; 9 answers a message that is not there.
     rows = [(1, None, "t", 0.0), (2, 1, "t", 5.0), (4, 2, "t", 1.0), (3, 1, "t", 1.0), (5, 3, "t", 4.0), (6, 5, "t", 4.0), (7, None, "u", None), (9, 8, "v", 1.0), (20, 21, "c", 1.0), (21, 20, "c", 1.0)]
-    messages = spark.createDataFrame(rows[:-2], "id long, up long, tree string, score double")
+    # 20 and 21 answer each other, and 22 answers 21: no path.
+    messages = spark.createDataFrame([*rows, (22, 21, "c", 1.0)], "id long, up long, tree string, score double")
     best = C.best_branches(messages, per_tree=2).orderBy("tree", "rank", "place").collect()
     found = {}
     for r in best:
