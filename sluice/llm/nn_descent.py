@@ -5,7 +5,7 @@ whose members propose each other; then each round joins the graph with itself:
 the neighbours and reverse neighbours of every node meet and propose each other
 (neighbours of neighbours), and every node keeps its ``K`` best.  Proposals are
 compared on 8-bit codes; a node hears only of those that beat its worst
-neighbour.  Groups of more than ``BLOCK`` members are dealt into blocks, anew in
+neighbour.  Rounds end when hardly an edge is new.  Groups of more than ``BLOCK`` members are dealt into blocks, anew in
 every round, so a hub that many nodes point to never meets in one task.
 
 Searching.  Every query holds its ``BEAM`` nearest nodes so far.  A step joins
@@ -13,30 +13,32 @@ those not yet expanded with the graph in both directions, scores the new nodes
 on the original vectors in double precision, and keeps the best, until no query
 finds anything nearer.  Nodes found are then expanded to all rows they stand for.
 
-Edge cases: null, zero and empty vectors, vectors with null or non-finite
-components, and vectors of another than the most frequent length take no part,
-as queries or as candidates, nor do null ids; of rows with one id the smallest
-vector counts; a query gets fewer results where there are fewer candidates; ties
-go to the smaller id; an empty table gives no rows.  Other columns are ignored,
-whatever their names.
+Edge cases: null, zero and empty vectors and vectors with null or non-finite
+components take no part, as queries or as candidates, nor do null ids; vectors of
+different lengths are never compared; of rows with one id the smallest vector
+counts; a query gets fewer results where there are fewer candidates; ties go to the
+smaller id; an empty table gives no rows.  Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, ship
+from ._common import discard, materialize, ship
 
-K, BEAM, ROUNDS, BLOCK, TABLES, BUCKET = 32, 96, 6, 256, 6, 96
+K, BEAM, BLOCK, TABLES, BUCKET = 32, 96, 256, 6, 96
+#: Share of edges that a round may renew once the graph counts as finished.
+SETTLED = 0.01
 #: Nodes, spread over the graph, from which every query starts besides its own.
 ENTRIES = 64
-MAX_STEPS = 30
 
 
 def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -45,10 +47,7 @@ def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(finite & F.exists(v, lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
-    if not sizes:
-        return rows
-    return rows.where(F.size("v") == sizes[0]["n"]).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _codes(nodes: DataFrame) -> DataFrame:
@@ -154,24 +153,42 @@ def _columns(found: list[tuple]) -> tuple[list[pa.Array], list[str]]:
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    once = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
+    once = edges.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("new").alias("new"))
     order = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-    return once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("u", "v", "s")
+    return once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("u", "v", "s", "new")
 
 
-def build(nodes: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """(u, v, s): the ``k`` nearest neighbours found for every node (id, v)."""
+def build(nodes: DataFrame, k: int = K, settled: float = SETTLED) -> DataFrame:
+    """(u, v, s): the ``k`` nearest neighbours found for every node (id, v).
+
+    Rounds go on until at most the share ``settled`` of all edges is new.  They end:
+    every new edge is better than the one it replaces.
+    """
     ship(nodes.sparkSession)
     codes = materialize(_codes(nodes), "codes")
     bits = max(0, math.ceil(math.log2(max(1, codes.count() / BUCKET))))
     start = codes.select("id", "code", F.lit(-2.0).cast("float").alias("low"))
-    graph = materialize(_best(_local_join(_buckets(nodes, bits, TABLES), start, k, 0), k), "graph")
-    for turn in range(1, rounds + 1):
+    new = F.lit(1).alias("new")
+    graph = materialize(_best(_local_join(_buckets(nodes, bits, TABLES), start, k, 0).select("*", new), k), "graph")
+    turn, edges, fresh = 0, 1, 1
+    while fresh > settled * edges:
+        turn += 1
         low = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("low"))
         known = codes.join(low, codes.id == low.u, "left").select("id", "code", F.coalesce("low", F.lit(-2.0).cast("float")).alias("low"))
         members = graph.select(F.col("u").alias("g"), F.col("v").alias("u")).union(graph.select(F.col("v").alias("g"), "u")).distinct()
-        graph = materialize(_best(graph.union(_local_join(members, known, k, turn)), k), "graph")
-    return graph
+        found = _local_join(members, known, k, turn).select("*", new)
+        better = materialize(_best(graph.withColumn("new", F.lit(0)).union(found), k), "graph")
+        discard(graph)
+        graph = better
+        edges, fresh = graph.agg(F.count("*"), F.coalesce(F.sum("new"), F.lit(0))).first()
+    discard(codes)
+    return graph.drop("new")
+
+
+def _scaled(x, by):
+    """Column: x / 2**by in two halves, as 2**by itself may be out of range."""
+    half = F.floor(by / 2)
+    return x / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), by - half)
 
 
 def _dot(a, b):
@@ -198,24 +215,40 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
 
     begin = queries.select("q", F.explode(F.lit([r["id"] for r in entries.collect()]).cast("array<long>")).alias("id"))
     begin = begin.union(queries.where("own is not null").select("q", F.col("own").alias("id"))).distinct()
-    held = materialize(nearest(scored(begin)), "beam")
     visited = materialize(begin, "visited")
-    for _ in range(MAX_STEPS):
-        open_ = held.where(~F.col("done"))
-        if open_.isEmpty():
-            break
+    seen = [visited]
+    held = materialize(nearest(scored(visited)), "beam")
+    # A step visits only new nodes, so the search ends.
+    while not (open_ := held.where(~F.col("done"))).isEmpty():
         new = open_.select("q", F.col("id").alias("u")).join(both, "u").select("q", F.col("v").alias("id")).distinct()
         new = materialize(new.join(visited, ["q", "id"], "left_anti"), "new")
+        seen.append(new)
         visited = visited.union(new)
-        held = materialize(nearest(held.withColumn("done", F.lit(True)).union(scored(new))), "beam")
+        nearer = materialize(nearest(held.withColumn("done", F.lit(True)).union(scored(new))), "beam")
+        discard(held)
+        held = nearer
+    discard(both, queries, nodes, *seen)
     return held.select("q", "id", "s")
 
 
 def neighbours(rows: DataFrame, is_query: F.Column, top: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``top`` nearest found for every row where ``is_query`` (of ``vec_id``) holds."""
+    """(query_id, rank, vec_id, score): the ``top`` nearest found for every row where ``is_query`` (of ``vec_id``) holds.
+
+    Vectors of different lengths have no cosine: each length is searched on its own.
+    """
     usable = materialize(valid_vectors(rows, id_col, vector_col), "vectors")
-    nodes = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("id")).select("id", "v"), "nodes")
+    sizes = [r["n"] for r in usable.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
+    found = [_neighbours(usable.where(F.size("v") == n), is_query, top) for n in sizes or [0]]
+    return reduce(DataFrame.union, found)
+
+
+def _neighbours(usable: DataFrame, is_query: F.Column, top: int) -> DataFrame:
+    nodes = usable.groupBy("v").agg(F.min("vec_id").alias("id")).select("id", "v")
+    nodes = materialize(nodes, "nodes")
     members = materialize(usable.join(nodes, "v").select("vec_id", "id"), "members")
+    # By a power of two, which changes no cosine, so that no product leaves the range of doubles.
+    most = F.array_max(F.transform("v", F.abs))
+    nodes = nodes.withColumn("_by", F.floor(F.log2(most))).withColumn("v", F.transform("v", lambda x: _scaled(x, F.col("_by")))).drop("_by")
     graph = build(nodes)
     # Queries with equal vectors search once, as the node that they share.
     asked = members.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q"))

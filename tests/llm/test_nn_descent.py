@@ -47,7 +47,7 @@ def test_edges(spark):
     ]
     df = spark.createDataFrame(rows, SCHEMA)
     got = answers(NN.neighbours(df, F.col("vec_id") > 0))
-    assert set(got) == {1, 2, 3, 4, 5}
+    assert set(got) == {1, 2, 3, 4, 5}  # 12 has no other of its length
     assert [v for v, _ in got[1]] == [2, 3, 5, 4] and [v for v, _ in got[2]] == [1, 3, 5, 4]
     assert abs(got[5][0][1] - 0.5**0.5) < 1e-12
     wide = df.select("*", *(F.lit("z").alias(c) for c in ("id", "v", "u", "g", "s", "q", "code")))
@@ -60,3 +60,16 @@ def test_many_equal_vectors(spark):
     rows = [(i, [1.0, 2.0]) for i in range(300)] + [(1000 + i, [float(i), 1.0]) for i in range(40)]
     got = answers(NN.neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0))
     assert [v for v, _ in got[100]] == [0, 1, 2, 3, 4] and [v for v, _ in got[0]] == [1, 2, 3, 4, 5]
+
+
+def test_extreme_components(spark):
+    rows = [(i, [x * a, x * b]) for i, (x, a, b) in enumerate([(1e-200, 1, 1), (1e200, 1, 2), (1e-310, 2, 1), (1.0, 1, 0), (1.7e308, 1, 1), (5e-324, 1, 1)])]
+    got = answers(NN.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 0))
+    assert [v for v, _ in got[0]] == [4, 5, 1, 2, 3] and all(abs(s) <= 1 + 1e-12 for r in got.values() for _, s in r)
+    assert abs(dict(got[1])[3] - 5**-0.5) < 1e-9 and abs(dict(got[0])[4] - 1) < 1e-12
+
+
+def test_lengths_are_searched_apart(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.9, 0.1, 0.0]), (5, [0.0, 1.0, 0.0])]
+    got = answers(NN.neighbours(spark.createDataFrame(rows, SCHEMA), F.lit(True)))
+    assert {q: [v for v, _ in r] for q, r in got.items()} == {1: [2], 2: [1], 3: [4, 5], 4: [3, 5], 5: [4, 3]}
