@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII blanks: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -118,6 +118,18 @@ def words(text):
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
 
 
+def maybe_in(bits: DataFrame, bit: Column, size: int) -> Column:
+    """Column: whether ``bit`` is among the numbers ``b`` (1 .. ``size``) of a table; the bitmap's size doesn't depend on the table's."""
+    parts = bits.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
+    width = 4096  # bytes of each part; parts count from 1
+    whole = bytearray(size // 8)
+    for r in parts:
+        whole[(r["k"] - 1) * width : r["k"] * width] = r["m"]
+    place = (F.bitmap_bucket_number(bit) - 1) * width + F.floor(F.bitmap_bit_position(bit) / 8) + 1
+    byte = F.conv(F.hex(F.call_function("substring", F.lit(whole), place.cast("int"), F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.bitmap_bit_position(bit) % 8).cast("int"))) != 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

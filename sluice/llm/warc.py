@@ -34,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, ship
+from ._common import materialize, maybe_in, ship
 
 ARCHIVE_BYTES, MIN_DEDUP, LEVEL = 8 << 20, 1000, 3
+#: Bits that tell which digests can occur twice.
+DIGEST_BITS = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _INDEX = "array<struct<offset:long,length:long,record_id:string>>"
 _RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -140,14 +142,16 @@ def plan_records(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("digest"))
-    # Only payloads that occur more than once need a partner; the join is on light rows, so a
-    # payload that a third of the pages share costs one small row per page.
-    large = rows.where((F.length("payload") >= MIN_DEDUP) & F.col("page_id").isNotNull())
-    kept = large.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
-    light = large.select("page_id", "digest").join(kept, "digest").where("page_id < kept")
-    refers = light.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "kept").distinct()
-    joined = rows.join(refers, (rows.page_id == refers._p) & (rows.digest == refers._d), "left")
-    return joined.select("page_id", "url", "payload", "digest", F.col("kept").alias("refers_to"))
+    # Only payloads that occur more than once need a partner.  Their digests, light rows, come first;
+    # a bitmap of them tells which records can be among them, and all others pass without a shuffle.
+    large = (F.length("payload") >= MIN_DEDUP) & F.col("page_id").isNotNull()
+    kept = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    kept = materialize(kept.select(F.col("digest").alias("_d"), "kept"), "kept")
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(DIGEST_BITS)) + 1
+    maybe = large & maybe_in(kept.select(bit(F.col("_d")).alias("b")), bit(F.col("digest")), DIGEST_BITS)
+    found = rows.where(maybe).join(kept, F.col("digest") == F.col("_d"), "left")
+    found = found.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") < F.col("kept"), F.col("kept")).alias("refers_to"))
+    return rows.where(~maybe | maybe.isNull()).select("*", F.lit(None).cast("long").alias("refers_to")).union(found)
 
 
 def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
