@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from sluice.llm import mixing as M
 
@@ -46,6 +47,42 @@ def test_drawn_shares_meet_targets(spark):
     assert all(abs(share[d] - w) < 5e-3 for d, w in M.WEIGHTS.items()), share  # three standard deviations of the clean share
 
 
+def squared_misses(spark, p, n):
+    """(ours, that of an independent projected gradient with a rate per document of its own, size of the targets)."""
+    rows = [(i, int(n[i]), p[i].tolist()) for i in range(len(n))]
+    steps, targets, reached = M.fit_steps(spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>"))
+    least = (p.argmax(axis=1) == M.anchor_of(M.WEIGHTS)).astype(float)
+    a = n[:, None] * p
+    assert np.allclose(a.T @ M._rates(p, steps, M.anchor_of(M.WEIGHTS))[0], reached)
+    r, step = np.maximum(least, 1.0), 1.0 / np.linalg.norm(a.T @ a, 2)
+    for _ in range(20_000):
+        r = np.maximum(least, r - step * (a @ (a.T @ r - targets)))
+    return np.square(reached - targets).sum(), np.square(a.T @ r - targets).sum(), np.square(targets).sum()
+
+
+def test_fit_against_a_plain_solver(spark):
+    rng = np.random.default_rng(4)
+    p = np.full((300, 3), 0.001) + 0.997 * np.eye(3)[rng.integers(0, 3, 300)]
+    ours, plain, size = squared_misses(spark, p, rng.integers(20, 400, 300))
+    assert ours <= plain + 1e-6 * size
+
+
+@pytest.mark.xfail(reason="known limit: where kept documents alone exceed a target, the fit stops short of the least miss", strict=True)
+def test_fit_of_targets_out_of_reach(spark):
+    rng = np.random.default_rng(4)
+    ours, plain, size = squared_misses(spark, rng.dirichlet([0.4, 1.0, 0.4], 300), rng.integers(20, 400, 300))
+    assert ours <= 1.05 * plain + 1e-6 * size
+
+
+def test_query(spark, sf):
+    from sluice.llm import queries
+
+    rows = queries.QUERIES["op5_mixing"](spark, sf).toPandas()
+    assert len(rows) == 200 and (rows["rate"] >= 0).all()
+    # A document stands in the mixture as often as its rate says, its fraction drawn by its id.
+    assert ((rows["copies"] >= np.floor(rows["rate"])) & (rows["copies"] <= np.ceil(rows["rate"]))).all()
+
+
 def test_projection_keeps_rates_nonnegative():
     p = np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]])
     steps = np.array([[5.0, 0.0], [-1.0, 0.0]])
