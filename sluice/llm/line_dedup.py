@@ -14,7 +14,8 @@ Jaccard similarity ``THRESHOLD`` or more; lines without words always stay.
    common: pairs that met on fewer keys go.  In lists of over ``SHORT`` rows, rows are
    first held against the first row of their length; what matches is removed and
    needs no further partner.  Rows still unmatched meet those of the list whose
-   length lies in their own or a neighbouring band.
+   length lies in their own or a neighbouring band.  The keys are joined in
+   ``PASSES`` parts; a pair's common keys are summed over the parts.
 4. Pairs are verified on the words of both lines.
 
 Sets are told apart by 96 bits of hash; all similarities are taken on words.
@@ -45,6 +46,8 @@ DOC_BITS = 1 << 20
 #: Rows in a list whose rows meet pairwise, at most.
 SHORT = 512
 LEADER_ROUNDS = 2
+#: Parts of the keys whose lists are joined one after the other: each takes its share of the disk.
+PASSES = 4
 #: Sets of more words than this have 128 parity bits instead of 64.
 WIDE = 64
 _HASH_BITS = 57
@@ -201,6 +204,11 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("xsid", "ysid").alias("a"), F.greatest("xsid", "ysid").alias("b"), F.col("xn") + F.col("yn"), _needed(F.col("xn"), F.col("yn")), rest).toDF("a", "b", "both", "needed", "rest")
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows of ``_met`` by pair, with the number ``c`` of keys that the pair met on."""
+    return rows.groupBy("a", "b", "both", "needed").agg(F.count("*").alias("c"), F.max("rest").alias("rest"))
+
+
 def _band(n: Column) -> Column:
     """Lengths that a similar pair can have lie in the same or in neighbouring bands."""
     num, den = THRESHOLD
@@ -233,24 +241,25 @@ def matched(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> D
     every = postings(firsts)
     counts = every.where("high").groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > SHORT)
     long_lists = materialize(counts.select("k"), "long_lists")
-    gone, spent, cold, hot_pairs = [], [long_lists], every, None
+    gone, spent, cold, parts = [], [long_lists], every, []
     if not long_lists.isEmpty():
         hot_pairs, gone, more = _in_long_lists(every, long_lists, firsts, docs, id_col, text_col)
         spent += more
         cold = every.join(long_lists, "k", "left_anti")
-    # Both sides of the join read one exchange.
-    cold = cold.select("k", *_PARTS).repartition("k")
-    rows = _met(_side(cold, "x").join(_side(cold, "y"), "k").where((F.col("xsid") < F.col("ysid")) & _allowed("x", "y")))
-    if hot_pairs is not None:
         # A pair's later set is either removed by now or has met all its partners, so counts below are whole where they matter.
-        rows = rows.unionByName(hot_pairs)
+        parts.append(materialize(_counted(hot_pairs), "met"))
+    for turn in range(PASSES):
+        # Both sides of the join read one exchange.
+        lists = cold.where(F.pmod("k", F.lit(PASSES)) == turn).select("k", *_PARTS).repartition("k")
+        met = _side(lists, "x").join(_side(lists, "y"), "k").where((F.col("xsid") < F.col("ysid")) & _allowed("x", "y"))
+        parts.append(materialize(_counted(_met(met)), "met"))
     num, den = THRESHOLD
-    pairs = rows.groupBy("a", "b", "both", "needed").agg(F.count("*").alias("c"), F.max("rest").alias("rest"))
+    pairs = reduce(DataFrame.union, parts).groupBy("a", "b", "both", "needed").agg(F.sum("c").alias("c"), F.max("rest").alias("rest"))
     pairs = pairs.where((F.col("c") >= F.col("needed")) & ((num + den) * F.col("rest") >= num * F.col("both")))
     pairs = materialize(pairs.select("a", "b"), "pairs")
     gone.append(verified(pairs, firsts, docs, id_col, text_col, "similar"))
     later = materialize(reduce(DataFrame.union, gone).distinct(), "later")
-    discard(pairs, *spent, *gone)
+    discard(pairs, *parts, *spent, *gone)
     return later
 
 
