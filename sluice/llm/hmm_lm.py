@@ -10,8 +10,10 @@ hidden states, from each state a word class, and from the class a word:
   one of ``SUFFIXES`` classes by its last bytes.  Classes are bounded in number,
   so the model is, however large the vocabulary.
 * ``A`` and ``B`` come from Baum-Welch: each iteration runs the scaled forward and
-  backward recursions over all training texts (in segments) where they lie, sums the expected
+  backward recursions over all training texts where they lie, sums the expected
   counts across partitions, and brings states x classes numbers to the driver.
+  Blocks of a long text run side by side; what enters and leaves each of them comes
+  from products of the blocks' transfer matrices, so the counts are the whole text's.
 * P(word | class) comes from exact counts over all training texts with absolute
   discounting; what the discount frees is the unseen words' share of the class.
 * Scoring runs the scaled forward recursion over each whole text.
@@ -46,9 +48,8 @@ ITERATIONS = 5
 END = 0
 #: Weight of the corpus-wide class distribution in each state's emissions, in tokens.
 SMOOTH = 50.0
-#: Tokens per segment in training: Baum-Welch takes longer texts as several sequences, all of them counted,
-#: so that many run side by side.  Scoring runs over whole texts.
-SEGMENT = 1024
+#: Tokens per block of a longer text in training; counts don't depend on it.
+BLOCK = 1024
 #: Distinct words that a task counts before it hands them on; cells in a padded batch whose values are kept.
 _FLUSH, _CELLS = 400_000, 1 << 18
 
@@ -107,10 +108,6 @@ def frequent(counts: DataFrame, most: int = TOP) -> list[tuple[bytes, int]]:
 # -- recursions ---------------------------------------------------------------
 
 
-def segments(sequence: np.ndarray) -> list[np.ndarray]:
-    return [sequence[i : i + SEGMENT] for i in range(0, len(sequence), SEGMENT)]
-
-
 def _padded(sequences: list[np.ndarray], cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Batches (which, x, active): sequences of like length side by side, time first, longest first."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
@@ -144,14 +141,60 @@ def log_likelihoods(x: np.ndarray, active: np.ndarray, pi: np.ndarray, a: np.nda
     return total
 
 
-def expected_counts(sequences: list[np.ndarray], pi: np.ndarray, a: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts: starts, transitions, emissions (classes x states), and the log-likelihood."""
+def _transfers(blocks: list[np.ndarray], a: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """Per block, up to a factor: the probability of its tokens and last state, by the state at its first token."""
+    s = len(a)
+    out = np.zeros((len(blocks), s, s))
+    for which, x, active in _padded(blocks, _CELLS):
+        m = np.eye(s) * emit[x[0]][:, None, :]
+        for t in range(1, len(x)):
+            b = active[t]
+            step = np.matmul(m[:b].reshape(-1, s), a).reshape(-1, s, s)
+            step *= emit[x[t, :b]][:, None, :]
+            if t % 16 == 0:  # far from underflow
+                step /= step.sum(axis=(1, 2), keepdims=True)
+            m[:b] = step
+        out[which] = m / m.sum(axis=(1, 2), keepdims=True)
+    return out
+
+
+def _blocks(sequences: list[np.ndarray], pi: np.ndarray, a: np.ndarray, emit: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(blocks, before, after) of whole sequences, a row per block.
+
+    ``before``: state probabilities at the end of the block before, given the tokens so
+    far, or zeros at a sequence's start; ``after``: what follows the block, by its last state, up to a factor.
+    """
+    blocks = [x[i : i + size] for x in sequences for i in range(0, len(x), size)]
+    before, after = np.zeros((len(blocks), len(pi))), np.ones((len(blocks), len(pi)))
+    parts = np.array([-(-len(x) // size) for x in sequences], np.int64)
+    ends = np.cumsum(parts)
+    split = np.flatnonzero(parts > 1)
+    inside = [i for j in split for i in range(ends[j] - parts[j], ends[j])]
+    transfer = dict(zip(inside, _transfers([blocks[i] for i in inside], a, emit), strict=True))
+    for j in split:
+        first, last = ends[j] - parts[j], ends[j] - 1
+        enter = pi
+        for i in range(first, last):
+            leave = enter @ transfer[i]
+            before[i + 1] = leave / leave.sum()
+            enter = before[i + 1] @ a
+        for i in range(last, first, -1):
+            back = a @ (transfer[i] @ after[i])
+            after[i - 1] = back / back.sum()
+    return blocks, before, after
+
+
+def expected_counts(sequences: list[np.ndarray], pi: np.ndarray, a: np.ndarray, emit: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of whole sequences: starts, transitions, emissions (classes x states), and the log-likelihood."""
     s = len(pi)
     starts, moves, emits, logl = np.zeros(s), np.zeros((s, s)), np.zeros((emit.shape[0], s)), 0.0
     ones, back = np.ones(s), np.ascontiguousarray(a.T)
-    for _, x, active in _padded(sequences, _CELLS):
+    blocks, before, beyond = _blocks(sequences, pi, a, emit, size)
+    opens = ~before.any(axis=1)
+    for which, x, active in _padded(blocks, _CELLS):
         t_max, n = x.shape
         seen = emit[x]
+        enter = np.where(opens[which, None], pi, before[which] @ a)
         alphas, scales = np.zeros((t_max, n, s)), np.ones((t_max, n))
         for t in range(t_max):
             b = active[t]
@@ -160,12 +203,14 @@ def expected_counts(sequences: list[np.ndarray], pi: np.ndarray, a: np.ndarray,
                 np.matmul(alphas[t - 1, :b], a, out=now)
                 now *= seen[t, :b]
             else:
-                np.multiply(pi, seen[0], out=now)
+                np.multiply(enter, seen[0], out=now)
             np.matmul(now, ones, out=scale)
             now /= scale[:, None]
         logl += float(np.log(scales).sum())
         # after: what follows a cell, as seen from the state it is entered in.
         betas, after = np.ones((t_max, n, s)), np.zeros((t_max, n, s))
+        ends = np.array([len(blocks[i]) - 1 for i in which]), np.arange(n)
+        betas[ends] = beyond[which] / (alphas[ends] * beyond[which]).sum(axis=1, keepdims=True)
         for t in range(t_max - 2, -1, -1):
             c = active[t + 1]
             into = after[t + 1, :c]
@@ -173,8 +218,9 @@ def expected_counts(sequences: list[np.ndarray], pi: np.ndarray, a: np.ndarray,
             into /= scales[t + 1, :c, None]
             np.matmul(into, back, out=betas[t, :c])
         moves += a * (alphas[:-1].reshape(-1, s).T @ after[1:].reshape(-1, s))
+        moves += a * (before[which].T @ (seen[0] * betas[0] / scales[0, :, None]))  # from block to block
         gamma = np.multiply(betas, alphas, out=betas)  # idle cells are zero
-        starts += gamma[0].sum(axis=0)
+        starts += gamma[0, opens[which]].sum(axis=0)
         # Expected emissions: cells sorted by class, then summed run by run.
         flat = x.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
@@ -261,7 +307,7 @@ def baum_welch_step(training: DataFrame, model: tuple[np.ndarray, np.ndarray, np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(s + s * s + c * s + 1)
         for b in batches:
-            sequences = [part for x in b.column(0) for part in segments(np.frombuffer(x.as_buffer(), np.uint16))]
+            sequences = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(0)]
             starts, moves, emits, logl = expected_counts(sequences, *sent.value)
             total += np.concatenate([starts, moves.ravel(), emits.ravel(), [logl]])
         at = np.flatnonzero(total)

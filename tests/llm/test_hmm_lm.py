@@ -63,6 +63,24 @@ def test_forward_and_counts(model):
     assert math.isclose(logl, got.sum())
 
 
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_blocks_count_as_the_whole_text(model, size):
+    xs = [*sequences(), np.random.default_rng(2).integers(0, 6, 40).astype(np.uint16)]
+    whole = H.expected_counts(xs, *model, size=100)
+    for mine, want in zip(whole, brute_counts(xs, *model), strict=False):
+        assert np.allclose(mine, want)
+    for mine, want in zip(H.expected_counts(xs, *model, size=size), whole, strict=True):
+        assert np.allclose(mine, want)
+
+
+def test_long_texts_in_blocks_of_the_query():
+    rng = np.random.default_rng(5)
+    model = H.initial(rng.integers(1, 1000, H.CLASSES).astype(float))
+    xs = [rng.integers(0, H.CLASSES, n).astype(np.uint16) for n in (5000, H.BLOCK, H.BLOCK + 1, 3)]
+    for mine, want in zip(H.expected_counts(xs, *model), H.expected_counts(xs, *model, size=1 << 20), strict=True):
+        assert np.allclose(mine, want, rtol=1e-9)
+
+
 def test_scores(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     got = {r["doc_id"]: r for r in H.score(docs, iterations=3).collect()}
@@ -80,6 +98,26 @@ def test_scores(spark, sf):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 100
 
 
+def test_scores_of_a_model_computed_outside(spark):
+    """Five iterations, as the query runs, by unscaled recursions; every training word is a class of its own."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{j}" for j in rng.integers(0, 9, rng.integers(0, 12)))) for i in range(40)]
+    train = [text.split() for i, text in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for ws in train for w in ws)
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    number = {w: k for k, w in enumerate(ranked, 1)}
+    assert all(w in number for _, text in rows for w in text.split())
+    class_counts = np.zeros(H.CLASSES)
+    class_counts[: len(ranked) + 1] = [len(train), *(counts[w] for w in ranked)]
+    classes = lambda ws: np.array([*(number[w] for w in ws), H.END])
+    model = H.initial(class_counts)
+    for _ in range(H.ITERATIONS):
+        model = H.maximised(*brute_counts([classes(ws) for ws in train], *model), class_counts)
+    got = {r["doc_id"]: r["score"] for r in H.score(documents(spark, rows)).collect()}
+    for i, text in rows:
+        assert math.isclose(got[i], brute_likelihood(classes(text.split()), *model) / math.log(10), rel_tol=1e-9)
+
+
 def test_score_is_a_distribution(spark):
     """Over one-word texts, an unseen word among them, and longer ones, probabilities stay below 1 in sum."""
     words = [f"w{i}" for i in range(12)]
