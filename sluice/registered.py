@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .operators.batch import compile_plan
 from .plans.parser import parse
 from .sources.catalog import Catalog
-from .streaming.engine import Engine
+from .streaming.engine import Engine, TxResult
+from .streaming.state import fresh_folder
 
 #: Key columns of the given tables; lineitem has none.
 KEYS = {
@@ -285,6 +286,14 @@ INCREMENTAL: dict[str, tuple[str, str]] = {
         "(-> (from :orders [o_totalprice]) (aggregate {:n (row-count) :high (max o_totalprice)}))",
         "SELECT count(*) AS n, max(o_totalprice) AS high FROM ord",
     ),
+    "inc_pull": (
+        "(-> (from :orders [o_custkey]) (pull :c (from :customer [c_name c_mktsegment]) {:o_custkey :xt/id}) (with {:name (.. c :c_name) :seg (.. c c_mktsegment)}) (without c))",
+        "SELECT o_orderkey AS _id, o_custkey, c_name AS name, c_mktsegment AS seg FROM ord LEFT JOIN cust ON c_custkey = o_custkey",
+    ),
+    "inc_pull_star": (
+        "(-> (from :customer [c_name]) (pull* :os (-> (from :orders [o_custkey o_totalprice]) (where (> o_totalprice 400000))) {:xt/id :o_custkey}) (unnest {:o os}) (with {:key (.. o :xt/id) :price (.. o :o_totalprice)}) (return xt/id key price))",
+        "SELECT c_custkey AS _id, o_orderkey AS key, o_totalprice AS price FROM cust LEFT JOIN ord ON o_custkey = c_custkey AND o_totalprice > 400000",
+    ),
     "inc_limit": (
         "(-> (from :orders [o_totalprice]) (where (< o_totalprice 200000)) (offset 5) (limit 20))",
         "SELECT o_orderkey AS _id, o_totalprice FROM ord WHERE o_totalprice < 200000 ORDER BY 1 LIMIT 20 OFFSET 5",
@@ -304,29 +313,94 @@ WITH ord AS (
 """
 
 
-def _incremental(text: str) -> Callable[[SparkSession, str], DataFrame]:
+def _put(df: DataFrame) -> DataFrame:
+    return df.withColumn("_op", F.lit("put"))
+
+
+def _gone(df: DataFrame) -> DataFrame:
+    return df.withColumn("_op", F.lit("delete"))
+
+
+def _result(engine: Engine, *done: TxResult) -> DataFrame:
+    for error in (e for d in done for e in d.errors.values()):
+        raise error
+    return engine.query_results("q")
+
+
+def _incremental(text: str, late: bool = False, feeds: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """The transactions above; ``late``: the query comes after the first of them; ``feeds``: each table has a feed that numbers its batches from 0."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
         orders = read("orders").select(F.col("o_orderkey").alias("_id"), "o_custkey", "o_orderstatus", "o_totalprice")
         customers = read("customer").select(F.col("c_custkey").alias("_id"), "c_name", "c_mktsegment")
-        put = lambda df: df.withColumn("_op", F.lit("put"))
-        gone = lambda df: df.withColumn("_op", F.lit("delete"))
         engine = Engine(spark)
-        engine.register_query("q", text)
+        if not late:
+            engine.register_query("q", text)
+        apply = lambda table, changes, n: engine.apply_changes(table, changes, n if feeds else None, table if feeds else "")
         # Customers come, then all orders; some orders change and others go; last, customers change and go.
-        engine.apply_changes("customer", put(customers))
-        engine.apply_changes("orders", put(orders))
+        done = [apply("customer", _put(customers), 0), apply("orders", _put(orders), 0)]
+        if late:
+            engine.register_query("q", text, backfill=True)
         changed = orders.where("_id % 10 = 3").withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.col("o_totalprice") / 2})
-        engine.apply_changes("orders", put(changed).unionByName(gone(orders.where("_id % 10 = 7"))))
+        done.append(apply("orders", _put(changed).unionByName(_gone(orders.where("_id % 10 = 7"))), 1))
         moved = customers.where("_id % 10 = 5").withColumn("c_mktsegment", F.lit("MOVED"))
-        done = engine.apply_changes("customer", put(moved).unionByName(gone(customers.where("_id % 10 = 9"))))
-        if done.errors:
-            raise next(iter(done.errors.values()))
-        return engine.query_results("q")
+        done.append(apply("customer", _put(moved).unionByName(_gone(customers.where("_id % 10 = 9"))), 1))
+        if feeds:  # a batch that comes again changes nothing
+            done.append(apply("customer", _gone(customers), 1))
+        return _result(engine, *done)
 
     return run
 
 
-QUERIES = {n: _batch(t) for n, (t, _) in TEXTS.items()} | {n: _incremental(t) for n, (t, _) in INCREMENTAL.items()}
-ORACLE_SQL = {n: s for n, (_, s) in TEXTS.items()} | {n: _AFTER + s for n, (_, s) in INCREMENTAL.items()}
+def _unnested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("_id"), "embedding")
+    engine = Engine(spark)
+    engine.register_query("q", "(-> (from :vectors [embedding]) (unnest {:x embedding}) (where (> x 0.4)) (return xt/id x))")
+    halved = vectors.where("_id % 10 = 3").withColumn("embedding", F.slice("embedding", 1, 8))
+    return _result(engine, engine.apply_changes("vectors", _put(vectors)), engine.apply_changes("vectors", _put(halved).unionByName(_gone(vectors.where("_id % 10 = 7")))))
+
+
+def _documents_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by ``execute_tx``: both tables at once, then an update and deletes in one transaction."""
+    rows = {t: [{"xt/id" if k == key else k: v for k, v in r.asDict().items()} for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(key, *names).collect()]
+            for t, key, names in (("nation", "n_nationkey", ["n_name", "n_regionkey"]), ("region", "r_regionkey", ["r_name"]))}
+    engine = Engine(spark)
+    engine.register_query("q", "(-> (from :nation [n_name n_regionkey]) (join (from :region [r_name]) {:n_regionkey :xt/id}))")
+    first = engine.execute_tx([("put-docs", t, *docs) for t, docs in rows.items()])
+    moved = [d | {"n_name": "MOVED"} for d in rows["nation"] if d["n_regionkey"] == 1]
+    gone = [d["xt/id"] for d in rows["nation"] if d["xt/id"] % 5 == 4]
+    return _result(engine, first, engine.execute_tx([("put-docs", "nation", *moved), ("delete-docs", "nation", *gone)]))
+
+
+def _from_files(fmt: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{fresh_folder(spark)}/customer"
+        customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey")
+        options = {"header": "true"} if fmt == "csv" else {}
+        customers.write.options(**options).format(fmt).save(path)
+        found = Catalog(spark).add_file("customer", path, fmt, "c_custkey", customers.schema.simpleString()[len("struct<") : -1].replace(":", " "), **options)
+        return compile_plan(parse("(-> (from :customer [c_name c_nationkey]) (where (> c_nationkey 10)))"), found)
+
+    return run
+
+
+#: name: (query, SQL)
+_BACKFILLED, _FED = INCREMENTAL["inc_join_aggregate"], INCREMENTAL["inc_join"]
+OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "inc_backfill": (_incremental(_BACKFILLED[0], late=True), _AFTER + _BACKFILLED[1]),
+    "inc_two_feeds": (_incremental(_FED[0], feeds=True), _AFTER + _FED[1]),
+    "inc_unnest": (
+        _unnested,
+        "SELECT DISTINCT _id, x FROM (SELECT vec_id AS _id, unnest(CASE WHEN vec_id % 10 = 3 THEN embedding[1:8] ELSE embedding END) AS x FROM embeddings WHERE vec_id % 10 <> 7) WHERE x > 0.4",
+    ),
+    "inc_execute_tx": (
+        _documents_put,
+        "SELECT n_nationkey AS _id, CASE WHEN n_regionkey = 1 THEN 'MOVED' ELSE n_name END AS n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 4",
+    ),
+    **{f"source_{fmt}": (_from_files(fmt), "SELECT c_custkey AS _id, c_name, c_nationkey FROM customer WHERE c_nationkey > 10") for fmt in ("csv", "json", "orc")},
+}
+
+QUERIES = {n: _batch(t) for n, (t, _) in TEXTS.items()} | {n: _incremental(t) for n, (t, _) in INCREMENTAL.items()} | {n: q for n, (q, _) in OTHERS.items()}
+ORACLE_SQL = {n: s for n, (_, s) in TEXTS.items()} | {n: _AFTER + s for n, (_, s) in INCREMENTAL.items()} | {n: s for n, (_, s) in OTHERS.items()}
 FLAGSHIP = "pipeline_flagship"

@@ -40,9 +40,9 @@ class Catalog:
         return name in self._tables
 
     def frame(self, name: str) -> DataFrame:
-        """The table's documents, with ``_id`` if it has a key; an unknown table has none."""
+        """The table's documents, with ``_id`` if it has a key; an unknown table has none, and ids of no type yet."""
         if name not in self._tables:
-            return self.spark.createDataFrame([], "_id string")
+            return self.spark.createDataFrame([], "_id void")
         load, key = self._tables[name]
         df = load()
         return df.withColumn("_id", column(key)) if key is not None and key != "_id" else df

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from sluice.registered import INCREMENTAL, ORACLE_SQL, QUERIES, TEXTS
+from sluice.registered import INCREMENTAL, ORACLE_SQL, OTHERS, QUERIES, TEXTS
 
 from .oracle import compare, connect
 
@@ -20,9 +20,9 @@ def test_batch(spark, sf, con, name):
     assert compare(QUERIES[name](spark, sf), con, ORACLE_SQL[name]) or name in MAY_BE_EMPTY
 
 
-@pytest.mark.parametrize("name", ["inc_join_aggregate", "inc_left_join"])
+@pytest.mark.parametrize("name", ["inc_join_aggregate", "inc_left_join", "inc_pull", "inc_pull_star", *OTHERS])
 def test_incremental(spark, sf, con, name):
-    assert name in INCREMENTAL
+    assert name in INCREMENTAL or name in OTHERS
     assert compare(QUERIES[name](spark, sf), con, ORACLE_SQL[name])
 
 
