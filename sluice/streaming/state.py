@@ -6,6 +6,7 @@ import json
 import re
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -126,7 +127,7 @@ class TableState:
         return kept.unionByName(over.where("not _deleted").drop("_deleted"))
 
     def apply(self, puts: DataFrame, deletes: DataFrame) -> tuple[TableState, DataFrame]:
-        """(next version, weighted change) for documents put (whole, one per id) and ids deleted."""
+        """(next version, weighted change, not consolidated) for documents put (whole, one per id) and ids deleted."""
         schema = widen(self.schema, T.StructType([f for f in puts.schema.fields])) if self.schema.fields else puts.schema
         wide = replace(self, schema=schema)
         if schema != self.schema:
@@ -137,24 +138,28 @@ class TableState:
             base = self.store.write(puts, "tables")
             after = replace(wide, base=base, base_rows=self.store.read(base, schema).count())
             return after, weighted(after.frame(), 1)
-        ids = puts.select("_id").union(deletes.select(F.col("_id").cast(schema["_id"].dataType)))
-        before = wide.frame()
-        old = before.join(ids.select(F.col("_id").alias("_o")).distinct(), F.col("_id").eqNullSafe(F.col("_o")), "left_semi")
-        delta_path = self.store.write(consolidate(weighted(puts, 1).union(weighted(old, -1))), "changes")
-        changed = puts.withColumn("_deleted", F.lit(False))
+        # Written first: from then on its size is known, and a small one is sent to the table instead of the table being moved.
         gone = conform(deletes.select(F.col("_id").cast(schema["_id"].dataType).alias("_id")), schema).withColumn("_deleted", F.lit(True))
-        fresh = changed.unionByName(gone)
-        if (over := wide._overlay()) is not None:
-            rest = over.join(ids.select(F.col("_id").alias("_o")).distinct(), F.col("_id").eqNullSafe(F.col("_o")), "left_anti")
-            fresh = rest.unionByName(fresh)
-        path = self.store.write(fresh, "overlays")
-        after = replace(wide, overlay=path)
-        n = self.store.read(path, T.StructType([T.StructField("_deleted", T.BooleanType())])).count()
-        if n > max(MERGE_ROWS, MERGE_SHARE * self.base_rows):
+        path = self.store.write(puts.withColumn("_deleted", F.lit(False)).unionByName(gone), "overlays")
+        fresh = replace(wide, overlay=path)._overlay()
+        ids = fresh.select(F.col("_id").alias("_o"))
+        old = wide.frame().join(ids, F.col("_id").eqNullSafe(F.col("_o")), "left_semi")
+        # What is put unchanged stands with both weights; every reader consolidates.
+        delta = weighted(fresh.where("not _deleted").drop("_deleted"), 1).union(weighted(old, -1))
+
+        def overlaid() -> TableState:
+            over, at = wide._overlay(), path
+            if over is not None:
+                at = self.store.write(over.join(ids, F.col("_id").eqNullSafe(F.col("_o")), "left_anti").unionByName(fresh), "overlays")
+            after = replace(wide, overlay=at)
+            if after._overlay().count() <= max(MERGE_ROWS, MERGE_SHARE * self.base_rows):
+                return after
             base = self.store.write(after.frame(), "tables")
-            after = replace(after, base=base, overlay=None, base_rows=self.store.spark.read.parquet(base).count())
-        delta = self.store.read(delta_path, T.StructType([*schema.fields, T.StructField("_w", T.LongType())]))
-        return after, delta
+            return replace(after, base=base, overlay=None, base_rows=self.store.spark.read.parquet(base).count())
+
+        with ThreadPoolExecutor(2) as pool:
+            after, delta_path = pool.submit(overlaid), pool.submit(self.store.write, delta, "changes")
+        return after.result(), self.store.read(delta_path.result(), T.StructType([*schema.fields, T.StructField("_w", T.LongType())]))
 
     def saved(self) -> dict:
         return {"schema": self.schema.json(), "base": self.base, "overlay": self.overlay, "base_rows": self.base_rows}
