@@ -279,12 +279,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.select("k", *(F.col(c).alias(f"{s}{c}") for c in ("node", "n", "i")))
 
-    def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-        """(a, b, needed): a row for each key that two nodes share, if size and place allow them to be similar."""
+    def candidates(a: DataFrame, b: DataFrame, ordered: bool = False) -> DataFrame:
+        """(a, b, needed): a row for each key that two nodes share, if size and place allow them to be similar.
+
+        Of a table with itself, ``ordered`` gives every such row once instead of both ways round.
+        """
         an, bn, ai, bi = (F.col(c) for c in ("an", "bn", "ai", "bi"))
         length = (den * an >= num * bn) & (den * bn >= num * an)
         place = (num + den) * (F.least(ai, bi) + F.least(an - ai, bn - bi)) >= num * (an + bn)
-        met = side(a, "a").join(side(b, "b"), "k").where((F.col("anode") != F.col("bnode")) & length & place)
+        met = side(a, "a").join(side(b, "b"), "k").where((F.col("anode") < F.col("bnode") if ordered else F.col("anode") != F.col("bnode")) & length & place)
         return met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"), needed(an, bn).alias("needed"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -310,7 +313,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     bound = of_lead.join(led, ["a", "b"], "left_semi").select("k", "node").union(lead.select("k", "node"))
     free = hot.join(bound, ["k", "node"], "left_anti")
     # A pair that meets on too few keys is not similar, or both are bound to the leader of a list and so connected.
-    met = candidates(cold, cold).union(candidates(free, hot)).groupBy("a", "b", "needed").agg(F.count("*").alias("c"))
+    met = candidates(cold, cold, ordered=True).union(candidates(free, hot)).groupBy("a", "b", "needed").agg(F.count("*").alias("c"))
     edges = led.union(verified(met.where(F.col("c") >= F.col("needed")).select("a", "b"), "similar"))
     roots = components(edges.distinct())
     discard(lists, near)
