@@ -14,7 +14,6 @@ from .operators.batch import compile_plan
 from .plans.parser import parse
 from .sources.catalog import Catalog
 from .streaming.engine import Engine, TxResult
-from .streaming.state import fresh_folder
 
 #: Key columns of the given tables; lineitem has none.
 KEYS = {
@@ -375,7 +374,7 @@ def _documents_put(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _from_files(fmt: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = f"{fresh_folder(spark)}/customer"
+        path = f"{Engine(spark).store.path}/customer"  # goes when the program ends
         customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey")
         options = {"header": "true"} if fmt == "csv" else {}
         customers.write.options(**options).format(fmt).save(path)
