@@ -119,7 +119,8 @@ def links(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     home, near = _anchors(F.col("v"))
     homes = halved.select(F.col("fp").alias("a"), "h", home.alias("anchor"))
     replicas = halved.select(F.col("fp").alias("b"), "h", F.explode(near).alias("anchor"))
-    found = homes.join(replicas, ["h", "anchor"]).where(
+    # Spark takes an exploded table to be no larger than its source and would broadcast the replicas, 34 a node.
+    found = homes.join(replicas.hint("merge"), ["h", "anchor"]).where(
         (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
     )
     return found.select("a", "b").distinct()

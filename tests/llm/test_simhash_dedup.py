@@ -63,6 +63,12 @@ def test_links_lose_nothing(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
 
 
+def test_replicas_are_never_broadcast(spark, tmp_path):
+    spark.range(5000).selectExpr("xxhash64(id) AS fp").write.parquet(f"{tmp_path}/nodes")
+    plan = S.links(spark.read.parquet(f"{tmp_path}/nodes"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 102), (55, 60), (60, 57)]
     got = {r["node"]: r["root"] for r in S.components(spark.createDataFrame(edges, "a long, b long")).collect()}
