@@ -87,16 +87,15 @@ def first_lines(docs: DataFrame, classes: str, id_col: str, text_col: str) -> Da
     ``lo`` and ``hi`` are parity bits (``hi`` is 0 in sets of up to ``WIDE`` words).
     """
     num, den = THRESHOLD
-    # Folded by the optimizer to one constant array.
-    shifted = ",".join(str(int(k) << _HASH_BITS) for k in classes.split(","))
-    table = F.expr(f"cast(split('{shifted}', ',') as array<long>)")
+    # Folded by the optimizer to one constant array.  Of bytes: the driver holds its text in the description of every plan.
+    table = F.expr(f"cast(split('{classes}', ',') as array<tinyint>)")
     lines = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.posexplode(F.split(_spaced(F.col(text_col)), "\n")).alias("ln", "line"))
 
     def key(w: Column) -> Column:
         h = F.xxhash64(w)
         # An array without nulls is sorted as plain longs.
-        rank = F.coalesce(F.get(table, _bucket(h)), F.lit(0).cast("long"))
-        return rank.bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+        rank = F.coalesce(F.get(table, _bucket(h)).cast("long"), F.lit(0).cast("long"))
+        return F.shiftleft(rank, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
 
     keys = F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), key)))
     keyed = lines.select("d", "t", "ln", keys.alias("s"))

@@ -86,3 +86,11 @@ def test_edges(spark):
     wide = L.deduplicate(clashing(docs))
     assert rows_of(wide.select("doc_id", "text", "n_lines", "n_removed")) == rows_of(L.deduplicate(docs).select("doc_id", "text", "n_lines", "n_removed"))
     assert SCHEMA.split()[0] == "doc_id"
+
+
+def test_class_table_is_short_in_plans(spark):
+    docs = documents(spark, [(1, "a b c\nd e f"), (2, "a b c")])
+    plan = L.first_lines(docs, ",".join(["62"] * L.BUCKETS), "doc_id", "text")._jdf.queryExecution().toString()
+    assert len(plan) < 20 * L.BUCKETS
+    ranks = {k >> L._HASH_BITS for r in L.first_lines(docs, ",".join(["62"] * L.BUCKETS), "doc_id", "text").collect() for k in r["prefix"]}
+    assert ranks == {62}
