@@ -15,14 +15,16 @@ Equal fingerprints are one node, whatever their number.  The links join nodes,
 and the components come from alternating large-star and small-star steps over
 tables; nothing that grows with the corpus reaches the driver.
 
-``similar`` links documents by the Jaccard similarity of their shingles instead, as
-the pipeline asks: pairs at 0.8 differ in about 10 fingerprint bits and often in
-more, so no radius that anchors can cover holds them all.  Its candidates come from
-an exact prefix filter: under any one order of shingles (here by the count of a
-hashed bucket, rare first) two such sets share a shingle of their prefixes.
-Candidates are verified on the whole sets of shingle hashes.  In lists of over
-``SHORT`` sets, all are first held against the first one; pairs of sets that are
-both linked to it are connected already and are left out.
+``similar`` links documents by the Jaccard similarity of their shingles, as the
+pipeline asks.  Fingerprints of these shingles link by anchors as above; a linked
+pair that is similar by its whole sets of shingle hashes joins two sets to a class.
+Pairs at 0.8 differ in about 10 fingerprint bits and often in more, beyond what
+anchors can cover, so an exact search between sets of different classes follows: by
+a prefix filter, as under any one order of shingles (here by the count of a hashed
+bucket, rare first) two such sets share a shingle of their prefixes.  Its candidates
+are verified in the same way.  In lists of over ``SHORT`` sets, all are first held
+against the first one; pairs of sets that are both linked to it, or in its class,
+are connected already and are left out.
 
 Edge cases: a null or blank text has fingerprint zero and links like any other;
 a null id takes part but never names a component (a component without any id is
@@ -52,6 +54,20 @@ CACHE, _ODD = 400_000, np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 16
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each of the 64 bits."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        bits = np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def _majority(ones: np.ndarray, m: int) -> int:
+    """The bits that over half of ``m`` hashes set."""
+    return int.from_bytes(np.packbits(2 * ones > m, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """SimHash of a UTF-8 text: a bit is set if over half the shingle hashes set it."""
     words = (text or b"").lower().split()
@@ -68,10 +84,8 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     m, ones = len(first), np.zeros(64, np.int64)
     for at in range(0, m, _BLOCK):
         spans = zip(first[at : at + _BLOCK].tolist(), last[at : at + _BLOCK].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > m, bitorder="little").tobytes(), "little")
+        ones += _ones(np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64))
+    return _majority(ones, m)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -237,6 +251,18 @@ def shingle_classes(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def linked_pairs(nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(a, b), a < b: pairs of the sets ``node`` whose fingerprints ``fp`` link.
+
+    A set meets the least one of its own fingerprint, and that one meets those of linked fingerprints.
+    """
+    leads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    own = nodes.join(leads, "fp").where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
+    side = lambda f, n: leads.select(F.col("fp").alias(f), F.col("lead").alias(n))
+    other = links(leads.select("fp"), threshold).join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    return own.union(other).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id reachable by pairs of ``SIMILARITY``, itself included)."""
     num, den = SIMILARITY
@@ -248,16 +274,21 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles.open()
         for b in batches:
-            nodes, ns, prefix = [], [], []
+            nodes, ns, fps, prefix = [], [], [], []
             for x in b.column(2):
-                s = _keys(shingles.of(x.as_py()), sent.value)
+                h = shingles.of(x.as_py())
+                s = _keys(h, sent.value)
                 n = len(s)
+                fps.append(_majority(_ones(h), len(h)))
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 ns.append(n)
                 prefix.append(s[: n + (num * n) // -den + 1] if n else s)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "t", "node", "n", "prefix"],
+                [
+                    b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(ns, pa.int32()),
+                    pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(prefix, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "t", "node", "n", "fp", "prefix"],
             )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,29 +297,26 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             sets = [np.unique(shingles.of(x.as_py())).view(np.int64) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
 
-    own = materialize(texts.mapInArrow(prefixes, "doc_id long, t long, node long, n int, prefix array<long>"), "prefixes")
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), F.min(F.struct("n", "prefix")).alias("x"))
-    nodes = materialize(nodes.select("node", "least", "t", "x.n", "x.prefix"), "nodes")
-    every = nodes.select("node", "n", F.posexplode("prefix").alias("i", "k"))
-    counts = every.groupBy("k").agg(F.count("*").alias("c"))
-    lists = materialize(every.join(counts.where("c > 1"), "k"), "lists")
+    own = materialize(texts.mapInArrow(prefixes, "doc_id long, t long, node long, n int, fp long, prefix array<long>"), "prefixes")
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("t").alias("t"), F.min(F.struct("n", "fp", "prefix")).alias("x"))
+    nodes = materialize(nodes.select("node", "least", "t", "x.n", "x.fp", "x.prefix"), "nodes")
 
     def needed(an: F.Column, bn: F.Column) -> F.Column:
         """Prefix keys that a similar pair of these sizes has in common, at least (see ``line_dedup``)."""
         return F.ceil(num * (an + bn) / (num + den)) - F.greatest(F.ceil(num * an / den), F.ceil(num * bn / den)) + 1
 
     def side(df: DataFrame, s: str) -> DataFrame:
-        return df.select("k", *(F.col(c).alias(f"{s}{c}") for c in ("node", "n", "i")))
+        return df.select("k", *(F.col(c).alias(f"{s}{c}") for c in ("node", "n", "i", "class")))
 
     def candidates(a: DataFrame, b: DataFrame, ordered: bool = False) -> DataFrame:
-        """(a, b, needed): a row for each key that two nodes share, if size and place allow them to be similar.
+        """(a, b, needed): a row for each key that two nodes of different classes share, if size and place allow them to be similar.
 
         Of a table with itself, ``ordered`` gives every such row once instead of both ways round.
         """
         an, bn, ai, bi = (F.col(c) for c in ("an", "bn", "ai", "bi"))
         length = (den * an >= num * bn) & (den * bn >= num * an)
         place = (num + den) * (F.least(ai, bi) + F.least(an - ai, bn - bi)) >= num * (an + bn)
-        met = side(a, "a").join(side(b, "b"), "k").where((F.col("anode") < F.col("bnode") if ordered else F.col("anode") != F.col("bnode")) & length & place)
+        met = side(a, "a").join(side(b, "b"), "k").where((F.col("anode") < F.col("bnode") if ordered else F.col("anode") != F.col("bnode")) & (F.col("aclass") != F.col("bclass")) & length & place)
         return met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b"), needed(an, bn).alias("needed"))
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -303,19 +331,28 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         discard(pairs, sets)
         return out
 
+    close = verified(linked_pairs(nodes.where("n > 0").select("node", "fp")), "close")
+    classes = components(close)
+    every = nodes.join(classes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    every = every.select("node", "n", F.coalesce("root", "node").alias("class"), F.posexplode("prefix").alias("i", "k"))
+    counts = nodes.select(F.explode("prefix").alias("k")).groupBy("k").agg(F.count("*").alias("c"))
+    lists = materialize(every.join(counts.where("c > 1"), "k"), "lists")
+
     hot, cold = lists.where(F.col("c") > SHORT), lists.where(F.col("c") <= SHORT)
-    lead = hot.groupBy("k").agg(F.min(F.struct("node", "n", "i")).alias("x")).select("k", "x.node", "x.n", "x.i")
+    lead = hot.groupBy("k").agg(F.min(F.struct("node", "n", "i", "class")).alias("x")).select("k", "x.node", "x.n", "x.i", "x.class")
     # Pairs with a leader have their common prefix keys counted on the prefixes.
     near = materialize(candidates(hot, lead).distinct(), "near")
     prefix_of = lambda c: nodes.select(F.col("node").alias(c), F.col("prefix").alias(f"prefix_{c}"))
     near_enough = near.join(prefix_of("a"), "a").join(prefix_of("b"), "b").where(F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.col("needed"))
     led = verified(near_enough.select("a", "b"), "led")
-    of_lead = hot.join(lead.select("k", F.col("node").alias("l")), "k").select("k", "node", "l", F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
-    bound = of_lead.join(led, ["a", "b"], "left_semi").select("k", "node").union(lead.select("k", "node"))
+    of_lead = hot.join(lead.select("k", F.col("node").alias("l"), F.col("class").alias("lclass")), "k")
+    akin = of_lead.where(F.col("class") == F.col("lclass")).select("k", "node")  # the leader itself, too
+    of_lead = of_lead.select("k", "node", F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
+    bound = of_lead.join(led, ["a", "b"], "left_semi").select("k", "node").union(akin)
     free = hot.join(bound, ["k", "node"], "left_anti")
-    # A pair that meets on too few keys is not similar, or both are bound to the leader of a list and so connected.
+    # A pair of two classes that meets on too few keys is not similar, or both are bound to the leader of a list and so connected.
     met = candidates(cold, cold, ordered=True).union(candidates(free, hot)).groupBy("a", "b", "needed").agg(F.count("*").alias("c"))
-    edges = led.union(verified(met.where(F.col("c") >= F.col("needed")).select("a", "b"), "similar"))
+    edges = close.union(led).union(verified(met.where(F.col("c") >= F.col("needed")).select("a", "b"), "similar"))
     roots = components(edges.distinct())
     discard(lists, near)
     placed = nodes.select("node", "least").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")

@@ -92,6 +92,25 @@ def test_edges(spark):
     assert S.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_similar_takes_links_of_fingerprints(spark, monkeypatch):
+    base = [f"w{i}" for i in range(600)]
+    texts = [" ".join(base), " ".join([*base[:300], "x", *base[301:]]), " ".join([*base, "y"]), " ".join(f"z{i}" for i in range(600)), ""]
+    asked, links = [], S.links
+
+    def spied(nodes, threshold=S.THRESHOLD):
+        found = links(nodes, threshold)
+        asked.append(({r["fp"] for r in nodes.collect()}, found.count()))
+        return found
+
+    monkeypatch.setattr(S, "links", spied)
+    got = sorted(tuple(r) for r in S.similar(documents(spark, list(enumerate(texts)))).collect())
+    assert got == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 4)]
+    shingles = [S.Shingles.open().of(t.encode()) for t in texts[:4]]
+    prints = {signed(sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s))) for s in shingles}
+    near = sum((a ^ b).bit_count() <= 3 for a in (p % 2**64 for p in prints) for b in (p % 2**64 for p in prints) if a < b)
+    assert asked == [(prints, near)] and (near or len(prints) < 4)
+
+
 def test_similar_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(S, "SHORT", 4)  # long lists, so that leaders come into play
     rng = random.Random(6)
