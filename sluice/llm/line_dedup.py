@@ -8,15 +8,17 @@ Jaccard similarity ``THRESHOLD`` or more; lines without words always stay.
    from rare to common.  Any one order of all words makes the prefix filter exact.
 2. Equal word sets become one row, that of their first line, with a number and the
    keys of the prefix: sets as similar as asked for share a key there.
-3. Rows that share a key meet, and a pair goes on if its lengths, the places of the
-   key in both, and the parity bits of both sets allow the overlap needed.  A similar
-   pair shares all but so many of its words that a number of prefix keys must be
-   common: pairs that met on fewer keys go.  In lists of over ``SHORT`` rows, rows are
+3. Lists are by key and band of lengths.  A row stands in that of its own band with its
+   whole prefix and finds there, as the longer one, rows of its band and of the band
+   below; to be found, these bring only the few keys that a longer partner leaves
+   needed.  A pair goes on if its lengths, the places of the key in both, and the
+   parity bits of both sets allow the overlap needed; pairs that met on fewer keys
+   than a similar pair must go.  Where over ``SHORT`` rows of a band bring a key, its rows are
    first held against the first row of their length; what matches is removed and
-   needs no further partner.  Rows still unmatched meet those of the list whose
-   length lies in their own or a neighbouring band.  The keys are joined in
-   ``PASSES`` parts; a pair's common keys are summed over the parts.
-4. Pairs are verified on the words of both lines.
+   needs no further partner.  Rows still unmatched meet those with the key whose
+   length lies in their own or a neighbouring band.  The keys are joined in ``PASSES``
+   parts; a pair's common keys are summed over the parts.
+4. Pairs are verified on the words of both lines, each line's likeliest pair first.
 
 Sets are told apart by 96 bits of hash; all similarities are taken on words.
 
@@ -43,13 +45,15 @@ THRESHOLD = (4, 5)
 BUCKETS = 1 << 16
 #: Bits by which documents without a line to verify are left out early.
 DOC_BITS = 1 << 20
-#: Rows in a list whose rows meet pairwise, at most.
+#: Rows of a band that bring a key and are met one by one, at most.
 SHORT = 512
 LEADER_ROUNDS = 2
 #: Parts of the keys whose lists are joined one after the other: each takes its share of the disk.
-PASSES = 4
+PASSES = 2
 #: Sets of more words than this have 128 parity bits instead of 64.
-WIDE = 64
+WIDE = 96
+#: A set brings one key more than it must for each so many words: pairs of long sets then meet on several.
+EXTRA = 64
 _HASH_BITS = 57
 
 
@@ -97,7 +101,8 @@ def first_lines(docs: DataFrame, classes: str, id_col: str, text_col: str) -> Da
         rank = F.coalesce(F.get(table, _bucket(h)).cast("long"), F.lit(0).cast("long"))
         return F.shiftleft(rank, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
 
-    keys = F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("line", " "), ""), key)))
+    # Taking out the key of the empty word leaves each other key once.
+    keys = F.sort_array(F.array_except(F.transform(F.split("line", " "), key), F.array(key(F.lit("")))))
     keyed = lines.select("d", "t", "ln", keys.alias("s"))
 
     def folded(bit) -> Column:
@@ -134,14 +139,43 @@ def _allowed(a: str, b: str) -> Column:
     return length & ((num + den) * differ <= (den - num) * both) & place
 
 
-def _needed(na: Column, nb: Column) -> Column:
-    """Prefix keys that a similar pair of these lengths has in common, at least.
+def _band(n: Column) -> Column:
+    """Lengths that a similar pair can have lie in the same or in neighbouring bands."""
+    num, den = THRESHOLD
+    return F.floor(F.log(n.cast("double")) / math.log(den / num)).cast("int")
+
+
+def _overlap(na: Column, nb: Column) -> Column:
+    """Words that a similar pair of these lengths has in common, at least."""
+    num, den = THRESHOLD
+    return F.ceil(num * (na + nb) / (num + den))
+
 
-    The prefix that ends at the rarer key lies, as far as it is common, in the other
-    prefix; what follows it has one word less than the similarity asks of its set.
+def _prefix(n: Column) -> Column:
+    num, den = THRESHOLD
+    return n - F.ceil(n * num / den) + 1
+
+
+def _short_prefix(n: Column, band: Column) -> Column:
+    """Keys by which a set of ``n`` words finds all similar sets of ``band`` that are no shorter; 0 if there can be none.
+
+    The longer the other set, the more words must be common, the fewer keys will do.
     """
     num, den = THRESHOLD
-    return F.ceil(num * (na + nb) / (num + den)) - F.greatest(F.ceil(num * na / den), F.ceil(num * nb / den)) + 1
+    least = F.ceil(F.pow(F.lit(den / num), band) * (1 - 1e-9))  # of the band; a rounded length must not exceed it
+    keys = n - _overlap(n, F.greatest(n, least)) + 1 + F.floor(n / EXTRA)
+    return F.when(num * least <= den * n, F.least(keys, _prefix(n))).otherwise(0).cast("int")
+
+
+def _needed(na: Column, nb: Column) -> Column:
+    """Keys that a similar pair of these lengths meets on, at least.
+
+    Of its prefix, each set lacks in the other no more words than the overlap spares;
+    the rest of the prefix that ends at the rarer key lies in the other prefix.
+    """
+    n, m = F.least(na, nb), F.greatest(na, nb)
+    both = _overlap(n, m)
+    return F.least(_short_prefix(n, _band(m)) - n + both, _prefix(m) - m + both)
 
 
 def _bit(d: Column, t: Column) -> Column:
@@ -162,7 +196,11 @@ def _maybe_in(bits: DataFrame, bit: Column) -> Column:
 
 
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """(sid): sets that come second in a pair (a, b) of sets whose words are similar, as a table ``name``."""
+    """(sid): sets that come second in a pair (a, b, c) of sets whose words are similar, as a table ``name``.
+
+    Each set is first held against the earlier set with the largest ``c``; only sets
+    that this leaves meet all others.
+    """
     num, den = THRESHOLD
     at = firsts.select("sid", "pos")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(at, "sid")
@@ -173,24 +211,51 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str,
     lines = found.select("d", "t", F.explode(F.transform("at", lambda x: F.struct(x["sid"].alias("sid"), x["ln"].alias("ln"), F.get("_lines", x["ln"]).alias("line")))).alias("x"))
     sets = lines.select("x.sid", F.struct("d", "t", "x.ln").alias("pos"), F.array_distinct(words(F.col("x.line"))).alias("w")).dropDuplicates(["sid"])
     sets = materialize(sets, "line_sets")
-    one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("pos").alias("pa"), F.col("w").alias("wa")), "a")
-    two = one.join(sets.select(F.col("sid").alias("b"), F.col("pos").alias("pb"), F.col("w").alias("wb")), "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    similar = two.where((num + den) * common >= num * (F.size("wa") + F.size("wb")))
-    found = materialize(similar.select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("sid")).distinct(), name)
-    discard(sets, of_doc)
+    at = sets.select("sid", "pos")
+    placed = pairs.join(at.toDF("a", "pa"), "a").join(at.toDF("b", "pb"), "b")
+    second = F.col("pa") > F.col("pb")
+    placed = placed.select(F.when(second, F.col("a")).otherwise(F.col("b")).alias("sid"), F.when(second, F.col("b")).otherwise(F.col("a")).alias("other"), "c")
+    placed = materialize(placed, "placed")
+
+    def similar(rows: DataFrame) -> DataFrame:
+        one = rows.join(sets.select("sid", F.col("w").alias("wa")), "sid")
+        two = one.join(sets.select(F.col("sid").alias("other"), F.col("w").alias("wb")), "other")
+        common = F.size(F.array_intersect("wa", "wb"))
+        return two.where((num + den) * common >= num * (F.size("wa") + F.size("wb"))).select("sid").distinct()
+
+    likeliest = placed.groupBy("sid").agg(F.max_by("other", "c").alias("other"))
+    near = materialize(similar(likeliest), "nearest")
+    left = placed.join(near, "sid", "left_anti")
+    found = materialize(near.union(similar(left)), name)
+    discard(sets, of_doc, placed, near)
     return found
 
 
 _PARTS = ("sid", "n", "i", "lo", "hi")
 
 
-def postings(firsts: DataFrame) -> DataFrame:
-    """(k, i, sid, n, lo, hi, high): a row for every prefix key of every set; keys that occur often are ``high``."""
-    rows = firsts.select(F.posexplode("prefix").alias("i", "key"), "sid", "n", "lo", "hi")
+def _listed(rows: DataFrame, *also: str) -> DataFrame:
+    rows = rows.select(F.posexplode("prefix").alias("i", "key"), "sid", "n", "lo", "hi", *also)
     # A list is no longer than the count of its key's bucket.
     high = F.shiftright("key", _HASH_BITS) >= int(2 * math.log2(SHORT))
-    return rows.select(F.hash("key").alias("k"), *_PARTS, high.alias("high"))
+    return rows.select(F.hash("key").alias("k"), *_PARTS, *also, high.alias("high"))
+
+
+def postings(firsts: DataFrame) -> DataFrame:
+    """(k, i, sid, n, lo, hi, high): a row for every prefix key of every set; keys that occur often are ``high``."""
+    return _listed(firsts)
+
+
+def offers(firsts: DataFrame, *above: int) -> DataFrame:
+    """(k, i, sid, n, lo, hi, band, high): the keys by which longer sets find a set, in bands so far above its own."""
+    rows = firsts.withColumn("band", F.explode(F.array(*(_band(F.col("n")) + j for j in above))))
+    return _listed(rows.withColumn("prefix", F.slice("prefix", F.lit(1), _short_prefix(F.col("n"), F.col("band")))), "band")
+
+
+def _list_of(p: DataFrame, band: Column, s: str) -> DataFrame:
+    """Rows by the number ``g`` of their list, a key and a band: one long is sorted by radix."""
+    g = F.shiftleft(F.col("k").cast("long"), 8).bitwiseOR(band.cast("long"))
+    return p.select(g.alias("g"), *(F.col(c).alias(f"{s}{c}") for c in _PARTS))
 
 
 def _side(p: DataFrame, s: str, *also: str) -> DataFrame:
@@ -208,12 +273,6 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("a", "b", "both", "needed").agg(F.count("*").alias("c"), F.max("rest").alias("rest"))
 
 
-def _band(n: Column) -> Column:
-    """Lengths that a similar pair can have lie in the same or in neighbouring bands."""
-    num, den = THRESHOLD
-    return F.floor(F.log(n.cast("double")) / math.log(den / num)).cast("int")
-
-
 def _in_long_lists(every: DataFrame, long_lists: DataFrame, firsts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
     """(pairs met in long lists, tables of removed sets, tables to discard)."""
     hot = every.join(long_lists, "k", "left_semi").join(firsts.select("sid", "pos"), "sid")
@@ -223,7 +282,7 @@ def _in_long_lists(every: DataFrame, long_lists: DataFrame, firsts: DataFrame, d
         lead = heads.groupBy("k", "n").agg(F.min(F.struct("pos", "i", "lo", "hi", "sid")).alias("x"))
         lead = lead.select("k", F.col("n").alias("yn"), *(F.col(f"x.{c}").alias(f"y{c}") for c in ("i", "lo", "hi", "sid")))
         mine = _side(probes, "x").join(lead, "k").where((F.col("xn") == F.col("yn")) & (F.col("xsid") != F.col("ysid")) & _allowed("x", "y"))
-        near = materialize(_met(mine).select("a", "b").distinct(), "led")
+        near = materialize(_met(mine).select("a", "b", F.lit(0).alias("c")).distinct(), "led")
         gone.append(verified(near, firsts, docs, id_col, text_col, f"leaders{turn}"))
         probes = materialize(probes.join(gone[-1], "sid", "left_anti"), f"probes{turn}")
         spent += [near, probes]
@@ -238,24 +297,24 @@ def _in_long_lists(every: DataFrame, long_lists: DataFrame, firsts: DataFrame, d
 def matched(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(sid): the sets that a similar set precedes."""
     every = postings(firsts)
-    counts = every.where("high").groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > SHORT)
-    long_lists = materialize(counts.select("k"), "long_lists")
-    gone, spent, cold, parts = [], [long_lists], every, []
+    counts = offers(firsts, 0).where("high").groupBy("k", "band").agg(F.count("*").alias("c"))
+    long_lists = materialize(counts.where(F.col("c") > SHORT).select("k").distinct(), "long_lists")
+    gone, spent, longer, shorter, parts = [], [long_lists], every, offers(firsts, 0, 1), []
     if not long_lists.isEmpty():
         hot_pairs, gone, more = _in_long_lists(every, long_lists, firsts, docs, id_col, text_col)
         spent += more
-        cold = every.join(long_lists, "k", "left_anti")
+        longer, shorter = longer.join(long_lists, "k", "left_anti"), shorter.join(long_lists, "k", "left_anti")
         # A pair's later set is either removed by now or has met all its partners, so counts below are whole where they matter.
         parts.append(materialize(_counted(hot_pairs), "met"))
+    order = (F.col("xn") < F.col("yn")) | ((F.col("xn") == F.col("yn")) & (F.col("xsid") < F.col("ysid")))
     for turn in range(PASSES):
-        # Both sides of the join read one exchange.
-        lists = cold.where(F.pmod("k", F.lit(PASSES)) == turn).select("k", *_PARTS).repartition("k")
-        met = _side(lists, "x").join(_side(lists, "y"), "k").where((F.col("xsid") < F.col("ysid")) & _allowed("x", "y"))
-        parts.append(materialize(_counted(_met(met)), "met"))
+        mine = F.pmod("k", F.lit(PASSES)) == turn
+        x, y = _list_of(shorter.where(mine), F.col("band"), "x"), _list_of(longer.where(mine), _band(F.col("n")), "y")
+        parts.append(materialize(_counted(_met(x.join(y, "g").where(order & _allowed("x", "y")))), "met"))
     num, den = THRESHOLD
     pairs = reduce(DataFrame.union, parts).groupBy("a", "b", "both", "needed").agg(F.sum("c").alias("c"), F.max("rest").alias("rest"))
     pairs = pairs.where((F.col("c") >= F.col("needed")) & ((num + den) * F.col("rest") >= num * F.col("both")))
-    pairs = materialize(pairs.select("a", "b"), "pairs")
+    pairs = materialize(pairs.select("a", "b", "c"), "pairs")
     gone.append(verified(pairs, firsts, docs, id_col, text_col, "similar"))
     later = materialize(reduce(DataFrame.union, gone).distinct(), "later")
     discard(pairs, *parts, *spent, *gone)

@@ -94,3 +94,24 @@ def test_class_table_is_short_in_plans(spark):
     assert len(plan) < 20 * L.BUCKETS
     ranks = {k >> L._HASH_BITS for r in L.first_lines(docs, ",".join(["62"] * L.BUCKETS), "doc_id", "text").collect() for k in r["prefix"]}
     assert ranks == {62}
+
+
+def test_similar_pairs_meet_on_short_prefixes(spark):
+    """Pairs of every pair of lengths that just suffice share as many offered keys in the list of the longer one's band as asked."""
+    num, den = L.THRESHOLD
+    pairs = [(n, m, -(-num * (n + m) // (num + den))) for n in range(1, 300) for m in range(n, den * n // num + 1)]
+    df = spark.createDataFrame(pairs, "n int, m int, o int")
+    got = df.select("n", "m", "o", L._short_prefix(F.col("n"), L._band(F.col("m"))).alias("p"), L._prefix(F.col("m")).alias("q"), L._needed(F.col("n"), F.col("m")).alias("c"), (L._band(F.col("m")) - L._band(F.col("n"))).alias("d"))
+    for r in got.collect():
+        # The words that only one of both has may all stand first.
+        assert 0 < r["c"] <= min(r["p"] - (r["n"] - r["o"]), r["q"] - (r["m"] - r["o"])) and r["d"] in (0, 1), r
+
+
+def test_lists_hold_few_pairs_of_unlike_lengths(spark, monkeypatch):
+    """Lines of many lengths with one rare word in common: those too long or too short for each other don't meet."""
+    rows = [(d, " ".join(["rare", *(f"w{d}x{j}" for j in range(4 + 3 * d))])) for d in range(40)]
+    docs = documents(spark, rows).select("doc_id", "text")
+    firsts = L.first_lines(docs, L.frequency_classes(docs, "text"), "doc_id", "text")
+    lists = L._list_of(L.offers(firsts, 0, 1), F.col("band"), "x").join(L._list_of(L.postings(firsts), L._band(F.col("n")), "y"), "g")
+    assert lists.where("xsid <> ysid").count() < 40 * 39 / 4
+    assert sorted(map(tuple, L.deduplicate(docs).collect())) == brute(rows)
